@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bloom_lm import bloom_lm_scores
 from .common import documents
+from .golay_simhash import simhash_components
 from .token_counts import token_counts
 from .token_files import token_files
 
@@ -18,12 +20,20 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm_scores(documents(spark, sf_dir))
+
+
+def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), end_id=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
