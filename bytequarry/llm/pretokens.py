@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import struct
-
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -11,7 +10,7 @@ from tokenizers import Tokenizer
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose Unicode class may depend on a library's version; a text that holds one is left to the library as a whole.
 UNSURE = regex.compile(r"[՘-῿⁰-₟ꓐ-꯿\U00010000-\U0010FFFF]")
-#: Distinct pre-tokens a worker remembers; beyond it the memory starts afresh.
+#: Distinct stretches a worker remembers; beyond it they are set aside, and those set aside before are forgotten.
 REMEMBERED = 400_000
 
 
@@ -31,7 +30,6 @@ class PreTokenizer:
         special = sorted(self.library.get_added_tokens_decoder().items(), key=lambda x: -len(x[1].content))
         self.special = {t.content: i for i, t in special}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.ids: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> PreTokenizer:
@@ -64,19 +62,73 @@ class PreTokenizer:
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers, equal to the library's.
 
-        A distinct pre-token goes to the library once, as long as it is remembered.
-        """
-        known, pieces = self.ids, self.pieces(text)
+class TextEncoder:
+    """Encodes whole texts with the library, each distinct stretch between single spaces and newlines once while it is remembered.
+
+    Byte-level pre-tokenization always cuts before a space or around a newline that stands between two characters other
+    than white space. So a text's ids are those of its stretches, each with the space or newline before it. Where a
+    stretch is empty or begins or ends with white space, the library takes the text as a whole.
+    """
+
+    _made: dict[str, TextEncoder] = {}
+
+    def __init__(self, path: str):
+        cut = PreTokenizer.at(path)
+        self.library, self.special = cut.library, cut.special
+        self.newline = self._ids("\n")
+        self.known: dict[str, bytes | None] = {}  # a stretch after a space, or a newline and a stretch; None: not by itself
+        self.before: dict[str, bytes | None] = {}
+
+    @classmethod
+    def at(cls, path: str) -> TextEncoder:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, parts: list[str]) -> None:
+        known, before, new = self.known, self.before, []
+        for p in dict.fromkeys(parts):
+            if p in known:
+                continue
+            body = p[1:] if p[:1] == "\n" else p
+            if p in before:
+                known[p] = before[p]
+            elif not body or body[0].isspace() or body[-1].isspace():
+                known[p] = None
+            elif len(self.newline) != 1 or any(s in p for s in self.special):
+                known[p] = self._ids(p if p[0] == "\n" else " " + p).tobytes()
+            else:
+                new.append(p)
+        for i in range(0, len(new), 4000):  # many stretches in one text, told apart by the id of the newlines between them
+            part = new[i : i + 4000]
+            ids = self._ids("".join([p if p[0] == "\n" else "\n " + p for p in part]))
+            starts = np.flatnonzero(ids == self.newline[0])
+            if len(starts) == len(part):
+                raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
+                for p, a, b in zip(part, (starts * 4).tolist(), ends, strict=True):
+                    known[p] = raw[a if p[0] == "\n" else a + 4 : b]
+            else:
+                known.update((p, self._ids(p if p[0] == "\n" else " " + p).tobytes()) for p in part)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text as little-endian unsigned 32-bit integers, equal to the library's."""
+        if not text:
+            return b""
+        parts = text.replace("\n", " \n").split(" ")
+        parts[0] = "\n" + parts[0]
+        known = self.known
         try:
-            return b"".join([known[p] for p in pieces])
+            found = list(map(known.__getitem__, parts))
         except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-        made = {p: struct.pack(f"<{len(ids)}I", *ids) for p, ids in zip(new, self.encode_pieces(new), strict=True)}
-        out = b"".join([known[p] if p in known else made[p] for p in pieces])
-        if len(known) + len(made) > REMEMBERED:
-            known.clear()
-        known.update(x for x in made.items() if len(x[0]) < 100)
-        return out
+            self._learn(parts)
+            found = list(map(known.__getitem__, parts))
+            if len(known) > REMEMBERED:
+                self.before, self.known = known, {}
+        try:
+            return b"".join(found)[4:]
+        except TypeError:
+            return self._ids(text).tobytes()

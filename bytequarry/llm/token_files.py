@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, saved, shared_dir, texts_of, use_workers
-from .pretokens import PreTokenizer
+from .pretokens import TextEncoder
 
 # Fixed values of the public seekable format, and a skippable frame of our own for the documents.
 SEEK_MAGIC, SEEK_FOOTER_MAGIC, DOCS_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -171,7 +171,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, text: str = "t
         part = TaskContext.get().partitionId()
         store, root = store_of(path)
         name, own = f"{root}/part-{part:05d}.ids.zst", f"{root}/.{uuid.uuid4().hex}"
-        encode, end = PreTokenizer.at(tokenizer).encode, b"" if end_id is None else struct.pack("<I", end_id)
+        encode, end = TextEncoder.at(tokenizer).encode, b"" if end_id is None else struct.pack("<I", end_id)
         with store.open_output_stream(own) as out:
             file = TokenFileWriter(out, frame_ids)
             for batch in batches:
