@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bloom_lm import bloom_lm_scores
 from .common import documents
 from .golay_simhash import simhash_components
+from .language_id import language_ids
+from .pii_crf import personal_data
 from .token_counts import token_counts
 from .token_files import token_files
 
@@ -20,6 +22,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(documents(spark, sf_dir))
+
+
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(documents(spark, sf_dir)).drop("redacted")
+
+
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm_scores(documents(spark, sf_dir))
 
@@ -33,7 +43,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op2_token_counts, op3_language_id, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
