@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bloom_lm import bloom_lm_scores
 from .common import documents
 from .golay_simhash import simhash_components
 from .language_id import language_ids
+from .mixing import mix
 from .pii_crf import personal_data
 from .token_counts import token_counts
 from .token_files import token_files
@@ -18,6 +20,24 @@ from .token_files import token_files
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+#: Target weights of the mix: domains, and languages within each; sources of a language weigh the same.
+DOMAINS = {"web": 0.5, "books": 0.3, "reference": 0.2}
+LANGUAGES = {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}
+MIX_WEIGHTS = {(d,): w for d, w in DOMAINS.items()} | {(d, k): w for d in DOMAINS for k, w in LANGUAGES.items()}
+
+
+def mix_tree() -> list:
+    """Domain (by the number in the source's name: 0 to 9 web, 10 to 14 books, else reference), language, source."""
+    number = F.coalesce(F.regexp_extract("source", "([0-9]{1,6})$", 1).try_cast("int"), F.lit(99))
+    return [F.when(number < 10, "web").when(number < 15, "books").otherwise("reference"), F.col("lang"), F.col("source")]
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir), mix_tree(), MIX_WEIGHTS, fraction=0.7, max_epochs=2, seed=1)
+    leaf = F.concat_ws("/", F.transform("mix_leaf", lambda x: F.coalesce(x, F.lit("-"))))
+    return mixed.select("doc_id", leaf.alias("leaf"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_taken").alias("taken"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE))
 
@@ -43,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_language_id, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_language_id, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
