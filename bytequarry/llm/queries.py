@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .bloom_lm import bloom_lm_scores
 from .common import documents
+from .ego_join import near_vectors
 from .golay_simhash import simhash_components
+from .kmeans_tree import nearest
 from .language_id import language_ids
 from .mixing import mix
 from .pii_crf import personal_data
@@ -46,6 +48,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(documents(spark, sf_dir))
 
 
+def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
+
+
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(documents(spark, sf_dir)).drop("redacted")
 
@@ -63,7 +73,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_language_id, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_language_id, op5_ego_join, op6_kmeans_tree, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
