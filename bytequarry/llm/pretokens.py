@@ -11,7 +11,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters whose Unicode class may depend on a library's version; a text that holds one is left to the library as a whole.
 UNSURE = regex.compile(r"[՘-῿⁰-₟ꓐ-꯿\U00010000-\U0010FFFF]")
 #: Distinct stretches a worker remembers; beyond it they are set aside, and those set aside before are forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 class PreTokenizer:
@@ -77,6 +77,7 @@ class TextEncoder:
         cut = PreTokenizer.at(path)
         self.library, self.special = cut.library, cut.special
         self.newline = self._ids("\n")
+        self.marks = {c: self._ids(c).tobytes() for c in ".,;:!?" if not any(c in s for s in self.special)}
         self.known: dict[str, bytes | None] = {}  # a stretch after a space, or a newline and a stretch; None: not by itself
         self.before: dict[str, bytes | None] = {}
 
@@ -90,29 +91,40 @@ class TextEncoder:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn(self, parts: list[str]) -> None:
-        known, before, new = self.known, self.before, []
+        known, before, marks, new, marked = self.known, self.before, self.marks, {}, []
         for p in dict.fromkeys(parts):
             if p in known:
                 continue
-            body = p[1:] if p[:1] == "\n" else p
             if p in before:
                 known[p] = before[p]
-            elif not body or body[0].isspace() or body[-1].isspace():
+                continue
+            body = p[1:] if p[:1] == "\n" else p
+            if not body or body.strip() != body:
                 known[p] = None
-            elif len(self.newline) != 1 or any(s in p for s in self.special):
-                known[p] = self._ids(p if p[0] == "\n" else " " + p).tobytes()
+            elif body[-1] in marks and len(body) > 1 and body[-2] < "\u0250" and body[-2].isalpha():
+                own = p[:-1]  # pre-tokens of letters end before a mark
+                marked.append((p, own))
+                if own not in known and own not in new:
+                    if own in before:
+                        known[own] = before[own]
+                    else:
+                        new[own] = None
             else:
-                new.append(p)
+                new[p] = None
+        new = list(new)
         for i in range(0, len(new), 4000):  # many stretches in one text, told apart by the id of the newlines between them
             part = new[i : i + 4000]
-            ids = self._ids("".join([p if p[0] == "\n" else "\n " + p for p in part]))
+            text = "".join([p if p[0] == "\n" else "\n " + p for p in part])
+            ids = self._ids(text)
             starts = np.flatnonzero(ids == self.newline[0])
-            if len(starts) == len(part):
+            if len(self.newline) == 1 and len(starts) == len(part) and not any(s in text for s in self.special):
                 raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(ids)]
                 for p, a, b in zip(part, (starts * 4).tolist(), ends, strict=True):
                     known[p] = raw[a if p[0] == "\n" else a + 4 : b]
             else:
                 known.update((p, self._ids(p if p[0] == "\n" else " " + p).tobytes()) for p in part)
+        for p, own in marked:
+            known[p] = known[own] + marks[p[-1]]
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers, equal to the library's."""
