@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bags import count_keys
 from .common import crc_mod, saved, use_workers
@@ -165,8 +166,8 @@ class Scorer:
         return np.where(n > 0, best, -1), np.where(n > 0, 1 / odds.sum(1), 0.0)
 
 
-def language_ids(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held_fold: int = 2, max_docs: int = 4000, max_words: int = 40_000, max_grams: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score[, the columns named in keep]) for each row.
+def identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held_fold: int = 2, max_docs: int = 4000, max_words: int = 40_000, max_grams: int = 20_000) -> DataFrame:
+    """(row, held_out, lang_pred, score) for each row; row holds all its columns.
 
     Learns from text and non-null lang of rows whose crc32(doc_id as text) modulo folds is not held_fold (null id: the
     empty text), from a sample by hash of about max_docs rows a language; predictions look at texts only. lang_pred is
@@ -180,17 +181,22 @@ def language_ids(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id
     labelled = docs.where(~held & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     model = fit(labelled, max_docs, max_words, max_grams)
     shared = spark.sparkContext.broadcast(model)  # at most (max_words + LONGEST * max_grams) entries a language
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), held.alias("_held"), F.col(text).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    schema = "doc_id long, held_out boolean, lang_pred string, score double" + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep if c != doc_id)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), held.alias("held_out"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches):
         scorer = Scorer.of(shared.value)
         names = np.array([*scorer.langs, "und"], object)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column("row").field(text).to_pylist()
             parts = [scorer.score(texts[i : i + 1000]) for i in range(0, len(texts), 1000)]
             best, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, int), np.empty(0))
-            more = {c: batch.column(f"_{i}") for i, c in enumerate(keep) if c != doc_id}
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_held"), pa.array(names[best].tolist(), pa.string()), pa.array(score), *more.values()], ["doc_id", "held_out", "lang_pred", "score", *more])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["row", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(predict, schema)
+
+
+def language_ids(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **options) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for each row, as identified() has it."""
+    made = identified(docs.select(doc_id, text, lang), text, lang, doc_id, **options)
+    return made.select(F.col("row")[doc_id].cast("long").alias("doc_id"), "held_out", "lang_pred", "score")

@@ -20,8 +20,9 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import texts_of, use_workers
+from .common import use_workers
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -300,31 +301,39 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[done:]])
 
 
-def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.9) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row.
+def marked(docs: DataFrame, text: str = "text", least: float = 0.9) -> DataFrame:
+    """(row, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row; row holds all its columns.
 
     Counts and the hash are of base spans; spans lists all, `kind:start:end` in code points, by start and kind;
-    redacted is the text with all of them replaced. least: probability from which the field's spans are taken.
-    Null text counts as empty; null ids stay null; repeated rows give repeated results; an empty table an empty result.
+    redacted is the text with all of them replaced (null stays null). least: probability from which the field's spans
+    are taken. Null text counts as empty; repeated rows give repeated results; an empty table an empty result.
     """
     spark = docs.sparkSession
     use_workers(spark)
     weights = spark.sparkContext.broadcast(trained().weights)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    counts, texts = [f"n_{k}" for k in KINDS], ["base_sha256", "spans", "redacted"]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in counts), *(T.StructField(c, T.StringType()) for c in texts)])
 
     def find(batches):
         field = Field(weights.value)
         for batch in batches:
-            out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "redacted")}
-            for x in texts_of(batch):
-                base, spans = all_spans(x, field, least)
+            out = {k: [] for k in (*counts, *texts)}
+            for x in batch.column("row").field(text).to_pylist():
+                base, spans = all_spans(x or "", field, least)
                 kinds = [s[2] for s in base]
                 for k in KINDS:
                     out[f"n_{k}"].append(kinds.count(k))
                 out["base_sha256"].append(hashlib.sha256(written(base).encode()).hexdigest())
                 out["spans"].append(written(spans))
                 out["redacted"].append(redact(x, spans) if spans else x)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
+            kinds = [pa.int64()] * len(counts) + [pa.string()] * len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["row", *out])
+
+    return rows.mapInArrow(find, schema)
 
-    return rows.mapInArrow(find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
+
+def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.9) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row, as marked() has it."""
+    made = marked(docs.select(doc_id, text), text, least)
+    return made.select(F.col("row")[doc_id].cast("long").alias("doc_id"), *made.columns[1:])

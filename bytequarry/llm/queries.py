@@ -16,10 +16,12 @@ from .kmeans_tree import nearest
 from .language_id import language_ids
 from .mixing import mix
 from .pii_crf import personal_data
+from .sentencepieces import segmented
 from .token_counts import token_counts
 from .token_files import token_files
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 #: Target weights of the mix: domains, and languages within each; sources of a language weigh the same.
@@ -48,6 +50,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(documents(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = segmented(documents(spark, sf_dir), public_tokenizers.path(PIECE_BPE), n_best=4)
+    second = F.try_element_at("scores", F.lit(2))
+    return made.select("doc_id", "n_pieces", "ids_crc32", F.col("scores")[0].alias("score"), (F.col("scores")[0] - second).alias("margin"), F.size("scores").alias("n_best"), "decoded_equal")
+
+
 def op5_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.9)
 
@@ -73,7 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_language_id, op5_ego_join, op6_kmeans_tree, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_language_id, op4_sentencepiece, op5_ego_join, op6_kmeans_tree, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
