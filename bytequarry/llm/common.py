@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = str(Path(__file__).resolve().parents[2])
+from ..shared import saved, shared_dir, use_workers
+
+__all__ = ["crc_mod", "documents", "kept", "partitions_for", "power_of_two", "saved", "shared_dir", "texts_of", "use_workers", "words"]
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -22,34 +19,16 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def use_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout; installed packages don't need it."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if REPO not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
+_kept: list = [None, None]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share: spark.checkpoint.dir of the session.
-
-    Only where nothing is set (tests, a single machine) a temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = Path(tempfile.mkdtemp(prefix="bytequarry-")).as_uri()
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written once as a table in the shared folder, so that later steps neither recompute them nor need lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def kept(*key, make):
+    """An object that a Python worker keeps from task to task. It keeps one at a time, so that operators which share a
+    worker don't fill its memory with each other's."""
+    if _kept[0] != key:
+        _kept[:] = [None, None]
+        _kept[:] = [key, make()]
+    return _kept[1]
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bags import count_keys
-from .common import crc_mod, saved, use_workers
+from .common import crc_mod, kept, saved, use_workers
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Cost of what a language has not seen, as a decimal logarithm.
@@ -92,17 +92,14 @@ def fit(labelled: DataFrame, max_docs: int, max_words: int, max_grams: int) -> d
 class Scorer:
     """Costs of texts; remembers stretches between white space within a worker."""
 
-    _last: tuple | None = None
-
     def __init__(self, model: dict):
+        self.model = model
         self.known, self.costs, self.langs = model["units"], model["costs"], model["langs"]
         self.forget()
 
     @classmethod
     def of(cls, model: dict) -> Scorer:
-        if cls._last is None or cls._last[0] is not model:
-            cls._last = (model, cls(model))
-        return cls._last[1]
+        return kept("Scorer", id(model), make=lambda: cls(model))  # which holds the model, so its id stays its own
 
     def forget(self) -> None:
         self.index: defaultdict = defaultdict()

@@ -6,6 +6,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from .common import kept
+
 #: The public pre-tokenization pattern of byte-level BPE files with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose Unicode class may depend on a library's version; a text that holds one is left to the library as a whole.
@@ -17,8 +19,6 @@ REMEMBERED = 500_000
 class PreTokenizer:
     """Cuts texts into pre-tokens and encodes pre-tokens; made once in each Python worker."""
 
-    _made: dict[str, PreTokenizer] = {}
-
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -33,9 +33,7 @@ class PreTokenizer:
 
     @classmethod
     def at(cls, path: str) -> PreTokenizer:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept(cls.__name__, path, make=lambda: cls(path))
 
     def sure(self, text: str) -> bool:
         return text.isascii() or UNSURE.search(text) is None
@@ -71,10 +69,8 @@ class TextEncoder:
     stretch is empty or begins or ends with white space, the library takes the text as a whole.
     """
 
-    _made: dict[str, TextEncoder] = {}
-
     def __init__(self, path: str):
-        cut = PreTokenizer.at(path)
+        cut = PreTokenizer(path)
         self.library, self.special = cut.library, cut.special
         self.newline = self._ids("\n")
         self.marks = {c: self._ids(c).tobytes() for c in ".,;:!?" if not any(c in s for s in self.special)}
@@ -83,9 +79,7 @@ class TextEncoder:
 
     @classmethod
     def at(cls, path: str) -> TextEncoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept(cls.__name__, path, make=lambda: cls(path))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")

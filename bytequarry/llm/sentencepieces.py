@@ -18,8 +18,8 @@ import math
 import struct
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 from itertools import islice
+from operator import concat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of, use_workers
+from .common import kept, texts_of, use_workers
 
 SPACE = "▁"
 #: Below a model's least probable piece: what a character outside the pieces costs, as the library has it.
 UNKNOWN = 10.0
 #: Distinct words, and distinct parts of words, that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED, PARTS = 700_000, 250_000
 
 
 def merged(lists: list[list[float]], n: int) -> list[float]:
@@ -47,8 +47,6 @@ def merged(lists: list[list[float]], n: int) -> list[float]:
 class Pieces:
     """A model's lattice and its segmentations; made once in each Python worker."""
 
-    _made: dict[str, Pieces] = {}
-
     def __init__(self, path: str):
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
@@ -60,7 +58,16 @@ class Pieces:
             score = {i: -math.log(1 + k) - total for k, i in enumerate(order)}
         self.pieces = {sp.id_to_piece(i): (i, score[i]) for i in plain}
         self.starts = dict.fromkeys((p[:k] for p in self.pieces for k in range(1, len(p) + 1)), ()) | self.pieces  # (): no piece, but the start of one
+        self.ends: dict = {}  # pieces by their letters from the last to the first: (letters before, piece or None)
+        for p, found in self.pieces.items():
+            node = self.ends
+            for k in range(len(p) - 1, -1, -1):
+                deeper, piece = node.get(p[k]) or ({}, None)
+                node[p[k]] = (deeper, found if k == 0 else piece)
+                node = deeper
         self.together = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        seconds = {t[1] for t in self.together}
+        self.alone = {c for c in ".,;:!?" if c not in seconds}  # marks that always begin a part
         self.by_word = not any(t[1] == SPACE and t[0] != SPACE for t in self.together)
         self.unknown = min(score.values()) - UNKNOWN
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -69,14 +76,14 @@ class Pieces:
         first = sp.normalize("a")
         self.prefix = first.startswith(SPACE)
         self.plain = all(sp.normalize(x) == SPACE * self.prefix + x.replace(" ", SPACE) for x in ("  a  b ", "ﬁ Å\té\n①", " x　"))
-        self.part = lru_cache(REMEMBERED)(self._part)
+        self.known: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
+        self.lists: dict[tuple, list[float]] = {}
         self.forget()
 
     @classmethod
     def at(cls, path: str) -> Pieces:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept("Pieces", path, make=lambda: cls(path))
 
     def normalized(self, text: str) -> str:
         """The text as the library normalizes it, spaces as U+2581."""
@@ -86,7 +93,12 @@ class Pieces:
 
     def parts(self, text: str) -> list[str]:
         """The text cut wherever two neighbours stand together in no piece."""
-        out, at, together = [], 0, self.together
+        together = self.together
+        if together.issuperset(map(concat, text, text[1:])):
+            return [text]
+        if text[-1] in self.alone and len(text) > 1:
+            return [*self.parts(text[:-1]), text[-1]]
+        out, at = [], 0
         for i in range(1, len(text)):
             if text[i - 1 : i + 1] not in together:
                 out.append(text[at:i])
@@ -94,10 +106,10 @@ class Pieces:
         out.append(text[at:])
         return out
 
-    def edges(self, part: str) -> tuple[list[float], list[int], list[tuple[int, int, int | tuple, float]]]:
-        """(best score from the start to each position, the edge it comes by, edges by start: start, end, id or ids, score)."""
+    def edges(self, part: str) -> tuple[list[float], list[tuple[int, int, int | tuple, float]]]:
+        """(best score from the start to each position, edges: start, end, id or ids, score)."""
         n, get = len(part), self.starts.get
-        best, by, edges = [0.0] + [-math.inf] * n, [0] * (n + 1), []
+        best, edges = [0.0] + [-math.inf] * n, []
         for i in range(n):
             here, single = best[i], False
             for j in range(i + 1, n + 1):
@@ -109,18 +121,20 @@ class Pieces:
                         single = True
                     score = here + found[1]
                     if score > best[j]:
-                        best[j], by[j] = score, len(edges)
+                        best[j] = score
                     edges.append((i, j, found[0], found[1]))
             if not single:
-                raw = part[i].encode("utf-8", "surrogatepass")
-                if here + self.unknown > best[i + 1]:
-                    best[i + 1], by[i + 1] = here + self.unknown, len(edges)
-                edges.append((i, i + 1, tuple(self.bytes[b] for b in raw) if self.bytes else (self.unk,), self.unknown))
-        return best, by, edges
+                best[i + 1] = max(best[i + 1], here + self.unknown)
+                edges.append((i, i + 1, self.outside(part[i]), self.unknown))
+        return best, edges
+
+    def outside(self, letter: str) -> tuple[int, ...]:
+        """Ids of a character that no piece has: its bytes, or the unknown piece."""
+        return tuple(self.bytes[b] for b in letter.encode("utf-8", "surrogatepass")) if self.bytes else (self.unk,)
 
     def segmentations(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a part, best first: backward A-star over the lattice."""
-        best, _, edges = self.edges(part)
+        best, edges = self.edges(part)
         ends = [[] for _ in range(len(part) + 1)]
         for start, end, ids, score in edges:
             ends[end].append((start, ids, score))
@@ -139,33 +153,59 @@ class Pieces:
                 heapq.heappush(queue, (-(best[start] + own + score), turn, start, own + score, (ids, path)))
         return out
 
-    def _part(self, part: str) -> tuple[list[int], float, float]:
-        """(ids, score, how much worse the second best is) of a part.
-
-        The second best leaves the best path somewhere: it is the best path over one of the other edges, the best score
-        to its start and from its end.
-        """
-        best, by, edges = self.edges(part)
-        n, path, ids = len(part), set(), []
-        at = n
-        while at:
-            k = by[at]
-            path.add(k)
-            own = edges[k][2]
-            ids += own[::-1] if isinstance(own, tuple) else (own,)
-            at = edges[k][0]
+    def _part(self, part: str) -> tuple[bytes, float, float]:
+        """(ids as bytes, score, how much worse the second best is) of a part: forward Viterbi with the two best scores to each
+        position; the pieces that end at a position are found backwards, in a tree of their letters."""
+        n, ends = len(part), self.ends
+        first, second, by = [0.0] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
+        for j in range(1, n + 1):
+            one = two = -math.inf
+            node, i, single = ends, j, False
+            while i:
+                i -= 1
+                node = node.get(part[i])
+                if node is None:
+                    break
+                node, piece = node
+                if piece:
+                    own, score = piece
+                    if i == j - 1:
+                        single = True
+                    value = first[i] + score
+                    if value > one:
+                        two = second[i] + score
+                        if one > two:
+                            two = one
+                        one, start, best = value, i, own
+                    elif value > two:
+                        two = value
+            if not single:
+                i, value = j - 1, first[j - 1] + self.unknown
+                if value > one:
+                    two = max(one, second[i] + self.unknown)
+                    one, start, best = value, i, self.outside(part[i])
+                elif value > two:
+                    two = value
+            first[j], second[j], by[j] = one, two, (start, best)
+        ids, j = [], n
+        while j:
+            j, own = by[j]
+            if own.__class__ is tuple:
+                ids += own[::-1]
+            else:
+                ids.append(own)
         ids.reverse()
-        second = -math.inf
-        if len(path) < len(edges):
-            rest = [-math.inf] * n + [0.0]
-            for k in range(len(edges) - 1, -1, -1):
-                i, j, _, score = edges[k]
-                score += rest[j]
-                if score > rest[i]:
-                    rest[i] = score
-                if k not in path and best[i] + score > second:
-                    second = best[i] + score
-        return ids, best[n], best[n] - second
+        return struct.pack(f"<{len(ids)}I", *ids), first[n], first[n] - second[n]
+
+    def part(self, part: str) -> tuple[bytes, float, float]:
+        """The same, remembered."""
+        found = self.known.get(part)
+        if found is None:
+            found = self.before.get(part) or self._part(part)
+            if len(self.known) > PARTS:
+                self.before, self.known = self.known, {}
+            self.known[part] = found
+        return found
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text (n small): for each its score and ids."""
@@ -183,34 +223,51 @@ class Pieces:
         self.values = np.zeros((0, 2))
 
     def learn(self) -> None:
-        made = []
+        """Ids, score and loss of the words that are new in the index."""
+        known, prefix, made = self.known.get, SPACE, []
         for word in islice(self.index, len(self.ids), None):
-            found = [self.part(p) for p in self.parts(word)] if word else []
-            if len(found) == 1:
-                ids, score, loss = found[0]
-            else:
-                ids, score, loss = [i for f in found for i in f[0]], sum(f[1] for f in found), min((f[2] for f in found), default=math.inf)
-            self.ids.append(struct.pack(f"<{len(ids)}I", *ids))
+            parts = self.parts(prefix + word if word.__class__ is str else word[0])
+            found = known(parts[0]) or self.part(parts[0])
+            if len(parts) == 1:
+                self.ids.append(found[0])
+                made.append(found[1:])
+                continue
+            ids, score, loss = [found[0]], found[1], found[2]
+            for p in parts[1:]:
+                found = known(p) or self.part(p)
+                ids.append(found[0])
+                score += found[1]
+                if found[2] < loss:
+                    loss = found[2]
+            self.ids.append(b"".join(ids))
             made.append((score, loss))
         self.values = np.concatenate([self.values, np.array(made).reshape(-1, 2)])
 
-    def losses(self, word: str, n: int) -> list[float]:
+    def losses(self, word: str | tuple[str], n: int) -> list[float]:
         """How much worse than its best the n best segmentations of a word are."""
-        lists = []
-        for part in self.parts(word):
-            if self.part(part)[2] < math.inf:
-                found = self.segmentations(part, n)
-                lists.append([found[0][0] - f[0] for f in found])
-        return merged(lists, n)
-
-    def words(self, text: str) -> list[str]:
-        """A text's normalized form cut before its spaces, or into parts where spaces stand together."""
+        if (word, n) not in self.lists:
+            if len(self.lists) >= 50_000:
+                self.lists.clear()
+            lists = []
+            for part in self.parts(self.spelt(word)):
+                if self.part(part)[2] < math.inf:
+                    found = self.segmentations(part, n)
+                    lists.append([found[0][0] - f[0] for f in found])
+            self.lists[word, n] = merged(lists, n)
+        return self.lists[word, n]
+
+    def words(self, text: str) -> list[str | tuple[str]]:
+        """A text cut at its single spaces, each word standing for a space and itself; or, where spaces stand together or
+        begin it, or it needs the library's normalization, its parts, as tuples of one."""
         if not text:
             return []
-        normal = self.normalized(text)
-        if self.by_word and normal.startswith(SPACE) and SPACE * 2 not in normal:
-            return [SPACE + w for w in normal[1:].split(SPACE)]
-        return self.parts(normal)
+        if self.by_word and self.plain and self.prefix and "  " not in text and text[0] != " ":
+            return text.split(" ")
+        return [(p,) for p in self.parts(self.normalized(text))]
+
+    @staticmethod
+    def spelt(word: str | tuple[str]) -> str:
+        return SPACE + word if isinstance(word, str) else word[0]
 
     def encode(self, texts: list[str], n: int) -> list[tuple[bytes, list[float]]]:
         """(ids of the best segmentation as little-endian unsigned 32-bit integers, scores of the n best) of whole texts."""
