@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +30,11 @@ def kept(*key, make):
     """An object that a Python worker keeps from task to task. It keeps one at a time, so that operators which share a
     worker don't fill its memory with each other's."""
     if _kept[0] != key:
-        _kept[:] = [None, None]
+        if _kept[1] is not None:
+            _kept[:] = [None, None]
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library can, give free memory back
+                ctypes.CDLL(None).malloc_trim(0)
         _kept[:] = [key, make()]
     return _kept[1]
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, use_workers, words
+from .common import kept, saved, use_workers, words
 from .components import as_links, connected_components, forest
 
 MAX_BITS = 3
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     use_workers(docs.sparkSession)
 
     def made(batches):
+        kept("fingerprints", make=list)  # lets go of what other operators keep
         for b in batches:
             fp = [fingerprint(x, shingle_words) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])

@@ -27,7 +27,7 @@ LONGEST = 5
 #: Longest word counted as a word; longer ones count by their n-grams alone.
 WORD_LETTERS = 40
 #: Distinct stretches between white space whose costs a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Words of evidence that a score may stand for.
 EVIDENCE = 20
 
@@ -52,6 +52,7 @@ def fit(labelled: DataFrame, max_docs: int, max_words: int, max_grams: int) -> d
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("lang")])
 
     def word_bags(batch):
+        kept("fit", make=list)  # lets go of what other operators keep
         bags = defaultdict(Counter)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             bags[lang].update(LETTERS.findall((text or "").lower()))
@@ -163,7 +164,7 @@ class Scorer:
         return np.where(n > 0, best, -1), np.where(n > 0, 1 / odds.sum(1), 0.0)
 
 
-def identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held_fold: int = 2, max_docs: int = 4000, max_words: int = 40_000, max_grams: int = 20_000) -> DataFrame:
+def identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 4, held_fold: int = 2, max_docs: int = 4000, max_words: int = 20_000, max_grams: int = 8_000) -> DataFrame:
     """(row, held_out, lang_pred, score) for each row; row holds all its columns.
 
     Learns from text and non-null lang of rows whose crc32(doc_id as text) modulo folds is not held_fold (null id: the

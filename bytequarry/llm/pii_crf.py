@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import use_workers
+from .common import kept, use_workers
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -316,7 +316,7 @@ def marked(docs: DataFrame, text: str = "text", least: float = 0.9) -> DataFrame
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in counts), *(T.StructField(c, T.StringType()) for c in texts)])
 
     def find(batches):
-        field = Field(weights.value)
+        field = kept("Field", id(weights.value), make=lambda: Field(weights.value))
         for batch in batches:
             out = {k: [] for k in (*counts, *texts)}
             for x in batch.column("row").field(text).to_pylist():

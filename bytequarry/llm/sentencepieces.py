@@ -32,8 +32,8 @@ from .common import kept, texts_of, use_workers
 SPACE = "▁"
 #: Below a model's least probable piece: what a character outside the pieces costs, as the library has it.
 UNKNOWN = 10.0
-#: Distinct words, and distinct parts of words, that a worker remembers.
-REMEMBERED, PARTS = 700_000, 250_000
+#: Distinct words that a worker remembers; of parts of words it remembers two sets of a third of that.
+REMEMBERED = 700_000
 
 
 def merged(lists: list[list[float]], n: int) -> list[float]:
@@ -47,7 +47,8 @@ def merged(lists: list[list[float]], n: int) -> list[float]:
 class Pieces:
     """A model's lattice and its segmentations; made once in each Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -82,8 +83,8 @@ class Pieces:
         self.forget()
 
     @classmethod
-    def at(cls, path: str) -> Pieces:
-        return kept("Pieces", path, make=lambda: cls(path))
+    def at(cls, path: str, remembered: int = REMEMBERED) -> Pieces:
+        return kept("Pieces", path, remembered, make=lambda: cls(path, remembered))
 
     def normalized(self, text: str) -> str:
         """The text as the library normalizes it, spaces as U+2581."""
@@ -202,7 +203,7 @@ class Pieces:
         found = self.known.get(part)
         if found is None:
             found = self.before.get(part) or self._part(part)
-            if len(self.known) > PARTS:
+            if len(self.known) > self.remembered // 3:
                 self.before, self.known = self.known, {}
             self.known[part] = found
         return found
@@ -281,7 +282,7 @@ class Pieces:
             some = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 > 0 else np.arange(len(loss) if n > 1 else 0)
             near = merged([self.losses(w[i], n) for i in some.tolist() if loss[i] < math.inf], n)
             out.append((b"".join(map(self.ids.__getitem__, own.tolist())), [score - x for x in near]))
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > self.remembered:
             self.forget()
         return out
 
@@ -291,13 +292,13 @@ class Pieces:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, scores, decoded_equal[, ids]) for each row.
 
     ids: best segmentation (array of int); ids_crc32: of the ids as little-endian unsigned 32-bit integers; scores:
     those of the n_best best segmentations, best first, fewer if there are no more; decoded_equal: decoding the ids
     gives the normalized text back. model: path of a SentencePiece model, readable on every worker. Null text counts as
-    empty (no pieces, one segmentation of score 0); null ids stay null; repeated rows give repeated results; an empty
+    empty (no pieces, one segmentation of score 0); remembered: words that a worker keeps (some 0.5 KB each); null ids stay null; repeated rows give repeated results; an empty
     table an empty result. Equal scores stand in the order the search meets them.
     """
     use_workers(docs.sparkSession)
@@ -305,7 +306,7 @@ def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text",
     schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_equal boolean" + ", ids array<int>" * with_ids
 
     def encode(batches):
-        pieces = Pieces.at(model)
+        pieces = Pieces.at(model, remembered)
         for batch in batches:
             ids, texts = batch.column("doc_id"), texts_of(batch)
             for i in range(0, len(texts), 500):

@@ -24,6 +24,8 @@ from bytequarry.llm.sentencepieces import segmented
 LEAST_SCORE = 0.3
 #: Tokens that the mix may spend, as a share of all that it gets; no document is taken twice.
 MIX_FRACTION = 0.9
+#: Words that a worker remembers in the last stage, fewer than where it is the only one.
+WORDS = 300_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces: ids of the best segmentation, scores of the best ones, and whether decoding gives it back."""
-    return segmented(docs, public_tokenizers.path(PIECE_BPE), n_best=4, with_ids=True)
+    return segmented(docs, public_tokenizers.path(PIECE_BPE), n_best=4, with_ids=True, remembered=WORDS)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("pieces", pieces)]
