@@ -23,7 +23,7 @@ def parse_settings(lines: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.option("wholetext", "true").text(path)
+    lines = spark.read.text(path, wholetext=True)
     return parse_settings(lines.select(F.posexplode(F.split("value", "\\r?\\n")).alias("no", "line")))
 
 
