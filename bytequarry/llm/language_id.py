@@ -74,10 +74,10 @@ def fit(labelled: DataFrame, max_docs: int, max_words: int, max_grams: int) -> d
     every = saved(of_words.union(counted))
     totals = {(r["lang"], r["n"]): r["s"] for r in every.groupBy("lang", "n").agg(F.sum("total").alias("s")).collect()}
     place = F.row_number().over(Window.partitionBy("lang", "n").orderBy(F.desc("total"), "unit"))  # of a bounded sample
-    kept = every.where((F.col("n") > 0) | (F.length("unit") <= WORD_LETTERS)).withColumn("place", place)
-    kept = kept.where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).toArrow()
+    chosen = every.where((F.col("n") > 0) | (F.length("unit") <= WORD_LETTERS)).withColumn("place", place)
+    chosen = chosen.where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).toArrow()
     units, costs = {}, []
-    for lang, n, unit, total in zip(*(kept.column(c).to_pylist() for c in ("lang", "n", "unit", "total")), strict=True):
+    for lang, n, unit, total in zip(*(chosen.column(c).to_pylist() for c in ("lang", "n", "unit", "total")), strict=True):
         key = (n, unit)
         at = units.get(key)
         if at is None:
