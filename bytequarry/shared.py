@@ -9,6 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 REPO = str(Path(__file__).resolve().parents[1])
 
 
@@ -24,11 +26,13 @@ def session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
 
 
 def use_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout; installed packages don't need it."""
+    """Let Python workers import this package when it is run from a checkout (installed packages don't need it), in batches of a few MB."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # as Spark comes: long texts would stand in a worker's memory several times over
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 def shared_dir(spark: SparkSession) -> str:
