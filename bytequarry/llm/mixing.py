@@ -71,7 +71,7 @@ def allocate(budget: float, leaves: dict[tuple, float], weights: dict[tuple, flo
 def mix(docs: DataFrame, tree: Sequence[Column], weights: dict[tuple, float], budget: float | None = None, fraction: float = 1.0, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents chosen, once for each epoch that takes them: their columns, and mix_leaf (array of strings),
     mix_epoch (int, from 0), mix_tokens (long) and mix_taken (how many of its tokens the budget reaches; only a leaf's
-    last document is taken in part). Columns of docs with these four names are left out.
+    last document is taken in part). Columns of docs whose names begin with mix_ are left out.
 
     tree: columns of the levels, from the root's children to the leaves; a null is a branch of its own.
     weights: weight of a node, by its path, among its siblings; 1 where none is given. budget: tokens in all; else
@@ -81,8 +81,7 @@ def mix(docs: DataFrame, tree: Sequence[Column], weights: dict[tuple, float], bu
     table gives an empty result.
     """
     spark = docs.sparkSession
-    added = ["mix_leaf", "mix_epoch", "mix_tokens", "mix_taken"]
-    own = [c for c in docs.columns if c.lower() not in added]
+    own = [c for c in docs.columns if not c.lower().startswith("mix_")]
     n = F.coalesce((tokens if tokens is not None else word_tokens(F.col(text))).cast("long"), F.lit(0))
     rows = docs.select(*own, F.array(*[c.cast("string") for c in tree]).alias("mix_leaf"), n.alias("mix_tokens"))
     rows = rows.withColumn("mix_key", F.to_json("mix_leaf"))  # equal paths, nulls too, have equal keys
@@ -92,22 +91,22 @@ def mix(docs: DataFrame, tree: Sequence[Column], weights: dict[tuple, float], bu
     # Sums over stretches of the order come first: no leaf's documents ever stand in one task, and only the stretch in
     # which a leaf's budget ends is put in order.
     place = ["mix_key", "mix_epoch", "mix_stretch"]
-    sums = saved(rows.groupBy(*place).agg(F.first("mix_leaf").alias("leaf"), F.sum("mix_tokens").alias("sum")))
-    leaves = sums.where("mix_epoch = 0").groupBy("mix_key").agg(F.first("leaf").alias("leaf"), F.sum("sum").alias("supply")).collect()  # a row a leaf
+    sums = saved(rows.groupBy(*place).agg(F.first("mix_leaf").alias("leaf"), F.sum("mix_tokens").alias("mix_sum")))
+    leaves = sums.where("mix_epoch = 0").groupBy("mix_key").agg(F.first("leaf").alias("leaf"), F.sum("mix_sum").alias("supply")).collect()  # a row a leaf
     supply = {tuple(r["leaf"]): r["supply"] for r in leaves}
     total = fraction * sum(supply.values()) if budget is None else budget
     given = allocate(total, {k: max_epochs * v for k, v in supply.items()}, {tuple(map(str, k)): w for k, w in weights.items()})
-    plan = spark.createDataFrame([(r["mix_key"], r["supply"], int(given[tuple(r["leaf"])] + 0.5)) for r in leaves], "mix_key string, supply long, budget long")
-    ahead = F.sum("sum").over(Window.partitionBy("mix_key").orderBy("mix_epoch", "mix_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    stretches = sums.select(*place, "sum", F.coalesce(ahead, F.lit(0)).alias("start")).join(plan, "mix_key")
-    free = (F.col("supply") == 0) & (F.col("mix_epoch") == 0)
-    stretches = saved(stretches.where((F.col("start") < F.col("budget")) | free).withColumn("inside", (F.col("start") + F.col("sum") <= F.col("budget")) | free))
+    plan = spark.createDataFrame([(r["mix_key"], r["supply"], int(given[tuple(r["leaf"])] + 0.5)) for r in leaves], "mix_key string, mix_supply long, mix_budget long")
+    ahead = F.sum("mix_sum").over(Window.partitionBy("mix_key").orderBy("mix_epoch", "mix_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    stretches = sums.select(*place, "mix_sum", F.coalesce(ahead, F.lit(0)).alias("mix_start")).join(plan, "mix_key")
+    free = (F.col("mix_supply") == 0) & (F.col("mix_epoch") == 0)
+    stretches = saved(stretches.where((F.col("mix_start") < F.col("mix_budget")) | free).withColumn("mix_inside", (F.col("mix_start") + F.col("mix_sum") <= F.col("mix_budget")) | free))
     if len(leaves) * max_epochs << STRETCH_BITS <= BROADCAST_ROWS:
         stretches = F.broadcast(stretches)
-    whole = rows.join(stretches.where("inside").select(*place), place)
+    whole = rows.join(stretches.where("mix_inside").select(*place), place)
     whole = whole.select(*own, "mix_leaf", "mix_epoch", "mix_tokens", F.col("mix_tokens").alias("mix_taken"))
-    last = rows.join(stretches.where("not inside").select(*place, "start", "budget"), place)
+    last = rows.join(stretches.where("not mix_inside").select(*place, "mix_start", "mix_budget"), place)
     before = F.sum("mix_tokens").over(Window.partitionBy(*place).orderBy("mix_hash", doc_id, text).rowsBetween(Window.unboundedPreceding, -1))
-    last = last.withColumn("before", F.col("start") + F.coalesce(before, F.lit(0))).where("before < budget")
-    last = last.select(*own, "mix_leaf", "mix_epoch", "mix_tokens", F.least(F.col("mix_tokens"), F.col("budget") - F.col("before")).alias("mix_taken"))
+    last = last.withColumn("mix_before", F.col("mix_start") + F.coalesce(before, F.lit(0))).where("mix_before < mix_budget")
+    last = last.select(*own, "mix_leaf", "mix_epoch", "mix_tokens", F.least(F.col("mix_tokens"), F.col("mix_budget") - F.col("mix_before")).alias("mix_taken"))
     return whole.union(last)

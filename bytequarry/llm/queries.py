@@ -84,5 +84,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_source_mixing, op2_token_counts, op3_language_id, op4_sentencepiece, op5_ego_join, op6_kmeans_tree, op7_pii_crf, op8_bloom_lm, op9_golay_simhash, op10_token_files)}
 
 
+#: The links, and who can be reached over them. The other operators' results rest on tokenizers, hashes or models that SQL lacks.
+EGO_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding::DOUBLE[], lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ego_join": EGO_SQL}
