@@ -26,12 +26,14 @@ def _le(expr: str) -> str:
 
 
 _RUNS = """
-i1 AS (SELECT *, CASE WHEN lag(b) OVER w = b THEN 0 ELSE 1 END AS new FROM bt WINDOW w AS (PARTITION BY file_id, block_id ORDER BY pos)),
+i1 AS (SELECT file_id, block_id, pos, b, x, CASE WHEN lag(b) OVER w = b THEN 0 ELSE 1 END AS new FROM bt WINDOW w AS (PARTITION BY file_id, block_id ORDER BY pos)),
 i2 AS (SELECT *, sum(new) OVER (PARTITION BY file_id, block_id ORDER BY pos) AS isl FROM i1),
 i3 AS (SELECT *, (row_number() OVER (PARTITION BY file_id, block_id, isl ORDER BY pos) - 1) // 255 AS k FROM i2),
-r AS (SELECT file_id, block_id, n, h, isl, k, min(b) AS sym, min(x) AS x, count(*) AS len FROM i3 GROUP BY ALL),
+r AS (SELECT file_id, block_id, isl, k, min(b) AS sym, min(x) AS x, count(*) AS len FROM i3 GROUP BY ALL),
 rr AS (SELECT *, row_number() OVER (PARTITION BY file_id, block_id ORDER BY isl, k) - 1 AS run FROM r)"""
 
+_FLAGGED = "SELECT bl.file_id, bl.block_id, n, CASE WHEN n = 0 THEN '' WHEN (1 + 2 * r) * 3 > n * 2 THEN '00' || h ELSE 'ff' || body END AS coded_hex FROM bl LEFT JOIN z USING (file_id, block_id)"
+
 _C0 = """
 c AS (SELECT file_id, block_id, n, b AS sym, count(*) AS cnt FROM bt GROUP BY ALL)"""
 
@@ -142,8 +144,8 @@ SELECT bl.file_id, bl.block_id, n, coalesce(l || {_le('row_')}, '') AS coded_hex
         "suffix_array": f"WITH {_blocks(512)}, z AS (SELECT file_id, block_id, string_agg(pos, ',' ORDER BY substr(h, 2 * pos + 1)) AS positions FROM bt GROUP BY ALL) SELECT bl.file_id, bl.block_id, n, coalesce(positions, '') AS positions FROM bl LEFT JOIN z USING (file_id, block_id)",
         "lf_mapping": f"WITH {_blocks(512)}, o AS (SELECT *, row_number() OVER (PARTITION BY file_id, block_id ORDER BY b, pos) - 1 AS lf FROM bt), z AS (SELECT file_id, block_id, string_agg(lf, ',' ORDER BY pos) AS rows FROM o GROUP BY ALL) SELECT bl.file_id, bl.block_id, n, coalesce(rows, '') AS rows FROM bl LEFT JOIN z USING (file_id, block_id)",
         "alphabet_bitmap": f"WITH {_blocks(512)}, u AS (SELECT DISTINCT file_id, block_id, b FROM bt), v AS (SELECT file_id, block_id, b // 8 AS j, sum(1 << (7 - b % 8)) AS v FROM u GROUP BY ALL), w AS (SELECT bl.file_id, bl.block_id, n, j FROM bl, range(0, 32) t(j)) SELECT w.file_id, w.block_id, w.n, string_agg(coalesce(v, 0)::INT, ',' ORDER BY w.j) AS bitmap FROM w LEFT JOIN v USING (file_id, block_id, j) GROUP BY ALL",
-        "rle_split": f"WITH {_blocks(512)}, {_RUNS}, z AS (SELECT file_id, block_id, CASE WHEN (1 + 2 * count(*)) * 3 > any_value(n) * 2 THEN '00' || any_value(h) ELSE 'ff' || string_agg(lpad(lower(hex(len)), 2, '0'), '' ORDER BY run) || string_agg(x, '' ORDER BY run) END AS coded_hex FROM rr GROUP BY file_id, block_id) SELECT bl.file_id, bl.block_id, n, coalesce(coded_hex, '') AS coded_hex FROM bl LEFT JOIN z USING (file_id, block_id)",
-        "rle_interleaved": f"WITH {_blocks(512)}, {_RUNS}, z AS (SELECT file_id, block_id, CASE WHEN (1 + 2 * count(*)) * 3 > any_value(n) * 2 THEN '00' || any_value(h) ELSE 'ff' || string_agg(x || lpad(lower(hex(len)), 2, '0'), '' ORDER BY run) END AS coded_hex FROM rr GROUP BY file_id, block_id) SELECT bl.file_id, bl.block_id, n, coalesce(coded_hex, '') AS coded_hex FROM bl LEFT JOIN z USING (file_id, block_id)",
+        "rle_split": f"WITH {_blocks(512)}, {_RUNS}, z AS (SELECT file_id, block_id, count(*) AS r, string_agg(lpad(lower(hex(len)), 2, '0'), '' ORDER BY run) || string_agg(x, '' ORDER BY run) AS body FROM rr GROUP BY file_id, block_id) {_FLAGGED}",
+        "rle_interleaved": f"WITH {_blocks(512)}, {_RUNS}, z AS (SELECT file_id, block_id, count(*) AS r, string_agg(x || lpad(lower(hex(len)), 2, '0'), '' ORDER BY run) AS body FROM rr GROUP BY file_id, block_id) {_FLAGGED}",
         "rle_runs": f"WITH {_blocks(65536)}, {_RUNS} SELECT file_id, block_id, len::INT AS len, count(*) AS n_runs, sum(sym)::BIGINT AS sum_sym, sum(run)::BIGINT AS sum_run FROM rr GROUP BY ALL",
         "rle_inv": f"WITH {_blocks(512)} SELECT file_id, block_id, n, h AS block_hex FROM bl WHERE n > 0",
         "split_alg": "WITH s AS (SELECT o_orderkey, string_split((['BWT+MTF+RLE+AC', 'BWT2', 'MTF+RLE+', '', '+AC2', 'RLE++AC'])[o_orderkey % 6 + 1], '+') AS p FROM orders), t AS (SELECT o_orderkey, CASE WHEN p[-1] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM s) SELECT o_orderkey, array_to_string(p, '|') AS stages, len(p)::INT AS n_stages FROM t",

@@ -18,7 +18,7 @@ from ..operators import catalog as C
 from ..operators import codecs, kernels
 from ..operators import models as M
 from ..operators.order import ranked
-from ..shared import shared_dir, use_workers
+from ..shared import shared_dir, spread, use_workers
 from ..sources import container
 from ..sources.blocks import files_of, join_blocks, split_blocks
 from ..sources.settings import parse_settings
@@ -112,7 +112,7 @@ def _contained(spark, sf, flags):
     path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents")
     rows = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    rows.write.format("bytecontainer").mode("append").option("flags", str(flags)).save(path)
+    spread(rows).write.format("bytecontainer").mode("append").option("flags", str(flags)).save(path)
     return path
 
 

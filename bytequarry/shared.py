@@ -49,6 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores (small tables: one file, one row group) dealt out to all of them, each
+    part in order; anything else as it is. So heavy work per row uses all cores, and large scans aren't shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n).sortWithinPartitions(*df.columns)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows written once as a table in the shared folder, so that later steps neither recompute them nor need lost executors."""
     spark = df.sparkSession

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import spread
+
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of all files below a folder."""
@@ -13,7 +15,7 @@ def binary_files(spark: SparkSession, path: str) -> DataFrame:
 
 def files_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(file_id, content): texts as files of UTF-8 bytes; null text is an empty file."""
-    return docs.select(F.col(doc_id).alias("file_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
+    return spread(docs.select(F.col(doc_id).alias("file_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content")))
 
 
 def split_blocks(files: DataFrame, block_size: int, content: str = "content") -> DataFrame:
