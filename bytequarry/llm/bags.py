@@ -69,7 +69,8 @@ def bag_sums(rows: DataFrame, columns: dict[str, str], bag_of: Callable, table:
 
     bag_of(batch) yields for each row of the batch (values of the columns, sums over core keys, {rare key: count}).
     columns and sums map names to Spark types. term maps each sum to a Column made of `n` (the count in the row) and
-    the table's value; it is applied to the rare keys after the join.
+    the table's value; it is applied to the rare keys after the join. Rows must come in the same order in each part
+    whenever they are computed again, as those of a scan do.
     """
     fields = ", ".join(f"{k} {v}" for k, v in {**columns, **sums}.items())
     schema = f"rid long, key string, n long, {fields}"

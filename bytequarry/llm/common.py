@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import saved, shared_dir, use_workers
+from ..shared import saved, shared_dir, spread, use_workers
 
-__all__ = ["crc_mod", "documents", "kept", "partitions_for", "power_of_two", "saved", "shared_dir", "texts_of", "use_workers", "words"]
+__all__ = ["crc_mod", "documents", "kept", "partitions_for", "power_of_two", "saved", "shared_dir", "spread", "texts_of", "use_workers", "words"]
 
 
 def words(text: bytes | None) -> list[bytes]:

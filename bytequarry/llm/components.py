@@ -59,13 +59,15 @@ def _forests(batches):
         yield as_links(*forest(*(np.concatenate(c) for c in zip(*held, strict=True))))
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, dense: bool = False) -> DataFrame:
     """(id, root) of every node with a link to another; root is a node of its component, the same for all of it.
 
-    links: columns a, b (long, not null); loops and repeated links don't matter.
+    links: columns a, b (long, not null); loops and repeated links don't matter. dense: many links between few nodes,
+    so that each task first reduces its own to a forest.
     """
     use_workers(links.sparkSession)
-    links = saved(links.where("a <> b").mapInArrow(_forests, "a long, b long").distinct())
+    links = links.where("a <> b")
+    links = saved((links.mapInArrow(_forests, "a long, b long") if dense else links).distinct())
     left, maps, turn = links.count(), [], 0
     while left > FINISH:
         turn += 1

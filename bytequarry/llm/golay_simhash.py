@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, saved, use_workers, words
+from .common import kept, saved, spread, use_workers, words
 from .components import as_links, connected_components, forest
 
 MAX_BITS = 3
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
             fp = [fingerprint(x, shingle_words) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(made, "doc_id long, fp long")
+    return spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))).mapInArrow(made, "doc_id long, fp long")
 
 
 class Golay:

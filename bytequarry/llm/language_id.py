@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bags import count_keys
-from .common import crc_mod, kept, saved, use_workers
+from .common import crc_mod, kept, saved, spread, use_workers
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Cost of what a language has not seen, as a decimal logarithm.
@@ -179,7 +179,7 @@ def identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
     labelled = docs.where(~held & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     model = fit(labelled, max_docs, max_words, max_grams)
     shared = spark.sparkContext.broadcast(model)  # at most (max_words + LONGEST * max_grams) entries a language
-    rows = docs.select(F.struct(*docs.columns).alias("row"), held.alias("held_out"))
+    rows = spread(docs.select(F.struct(*docs.columns).alias("row"), held.alias("held_out")))
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches):

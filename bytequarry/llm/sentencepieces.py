@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, texts_of, use_workers
+from .common import kept, spread, texts_of, use_workers
 
 SPACE = "▁"
 #: Below a model's least probable piece: what a character outside the pieces costs, as the library has it.
@@ -302,7 +302,7 @@ def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text",
     table an empty result. Equal scores stand in the order the search meets them.
     """
     use_workers(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_equal boolean" + ", ids array<int>" * with_ids
 
     def encode(batches):

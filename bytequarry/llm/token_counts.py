@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bags import CORE_KEYS, bag_sums, core_of, count_keys
-from .common import saved, texts_of, use_workers
+from .common import saved, spread, texts_of, use_workers
 from .pretokens import PreTokenizer
 
 
@@ -25,7 +25,7 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
     """
     spark = docs.sparkSession
     use_workers(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
 
     def bags(batch):
         pieces = PreTokenizer.at(tokenizer).pieces
