@@ -29,6 +29,21 @@ BLOCK = 2048
 STRETCH = 200_000
 
 
+def _lanes() -> np.ndarray:
+    """For each byte its bits, the highest first, as the eight bytes of one number: adding those counts eight bits at once."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
+LANES = _lanes()
+
+
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit values (big-endian) have each bit, the highest first."""
+    lanes = LANES[h.view(np.uint8).reshape(-1, 8)]
+    sums = np.add.reduceat(lanes, np.arange(0, len(h), 255), axis=0)  # 255 at a time, as much as a byte holds
+    return sums.view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+
+
 def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash over the text's word shingles, repeats included; 0 without words."""
     w = words(text)
@@ -41,7 +56,7 @@ def fingerprint(text: bytes | None, shingle_words: int = 3, seed: int = 42) -> i
         part = w[i : i + STRETCH + shingle_words - 1]
         rows = zip(*(part[k:] for k in range(shingle_words)), strict=False) if len(w) >= shingle_words else [w]
         h = np.array([digest(join(x), seed) for x in rows], dtype=">u8")
-        ones += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        ones += bit_counts(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -189,6 +204,15 @@ def linked(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     return cells.mapInArrow(_compare(max_bits), "a long, b long")
 
 
+def _labels(rows: DataFrame, max_bits: int, block: int) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints in rows (doc_id, fp)."""
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(linked(distinct.select("fp"), max_bits, block)).withColumnRenamed("id", "fp")
+    roots = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return roots.join(named, "root").select("fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = 3, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row; component_id is the smallest doc_id reachable through links.
 
@@ -197,9 +221,21 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     repeated results; an empty table an empty result. Only distinct fingerprints are compared, so exact copies cost nothing.
     """
     rows = saved(fingerprints(docs, text, doc_id, shingle_words))
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(linked(distinct.select("fp"), max_bits, block)).withColumnRenamed("id", "fp")
-    roots = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = roots.join(named, "root").select("fp", "component_id")
+    labels = _labels(rows, max_bits, block)
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3, 5), text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id), a row for each doc_id that has a smaller one reachable through links; rows without id take
+    no part.
+
+    Two documents link if their fingerprints over shingles of any of the widths differ in max_bits bits or fewer.
+    """
+    links = None
+    for width in widths:
+        rows = saved(fingerprints(docs.where(F.col(doc_id).isNotNull()), text, doc_id, width))
+        own = rows.join(_labels(rows, max_bits, block), "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        links = own if links is None else links.union(own)
+    roots = saved(connected_components(links))
+    named = roots.groupBy("root").agg(F.min("id").alias("component_id"))
+    return roots.join(named, "root").where("id <> component_id").select(F.col("id").alias("doc_id"), "component_id")

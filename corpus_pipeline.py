@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import shared_dir
-from bytequarry.llm.golay_simhash import simhash_components
+from bytequarry.llm.golay_simhash import near_duplicates as similar
 from bytequarry.llm.language_id import identified
 from bytequarry.llm.mixing import mix
 from bytequarry.llm.pii_crf import marked
@@ -22,6 +22,9 @@ from bytequarry.llm.sentencepieces import segmented
 
 #: A language below this share of the probability is not taken for certain: less than any best of four can be by evidence.
 LEAST_SCORE = 0.3
+#: Words of a shingle in the near-duplicate stage: two documents link by either. Three differing bits of 64 mean a cosine
+#: of some 0.99 between shingle counts, a Jaccard similarity of some 0.98.
+SHINGLE_WORDS = (3, 5)
 #: Tokens that the mix may spend, as a share of all that it gets; no document is taken twice.
 MIX_FRACTION = 0.9
 #: Words that a worker remembers in the last stage, fewer than where it is the only one.
@@ -36,9 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest doc_id stays; rows without doc_id stay as they are."""
-    groups = simhash_components(docs.where("doc_id is not null"))
-    extra = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    extra = similar(docs, SHINGLE_WORDS)
+    return docs.join(extra.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
