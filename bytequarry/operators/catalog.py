@@ -111,9 +111,9 @@ def add_folder(folders: DataFrame, parent: int, name: str) -> DataFrame:
 
 def add_files(files: DataFrame, new: DataFrame, folder: int) -> DataFrame:
     """New files (file_id, path, original_size) at the end of a folder's, in order of file_id, under the paths' last names."""
-    end = files.where(F.col("folder_id") == folder).agg(F.coalesce(F.max("ord"), F.lit(0)).alias("o"))
-    placed = in_order(new, [F.col("file_id")]).crossJoin(end)  # with the one row of `end`
-    row = {"folder_id": F.lit(folder), "name": F.regexp_extract("path", "([^/]*)$", 1), "flags": F.lit(0), "compressed_size": F.lit(0), "ord": F.col("o") + F.col("pos") + 1}
+    end = files.where(F.col("folder_id") == folder).agg(F.coalesce(F.max("ord"), F.lit(0))).first()[0]
+    placed = in_order(new, [F.col("file_id")])
+    row = {"folder_id": F.lit(folder), "name": F.regexp_extract("path", "([^/]*)$", 1), "flags": F.lit(0), "compressed_size": F.lit(0), "ord": F.lit(end) + F.col("pos") + 1}
     return files.unionByName(placed.select(*[row.get(c, F.col(c) if c in new.columns else F.lit(None)).cast(files.schema[c].dataType).alias(c) for c in files.columns]))
 
 
