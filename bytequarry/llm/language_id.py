@@ -187,7 +187,7 @@ def identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
         names = np.array([*scorer.langs, "und"], object)
         for batch in batches:
             texts = batch.column("row").field(text).to_pylist()
-            parts = [scorer.score(texts[i : i + 1000]) for i in range(0, len(texts), 1000)]
+            parts = [scorer.score(texts[i : i + 300]) for i in range(0, len(texts), 300)]
             best, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, int), np.empty(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["row", "held_out", "lang_pred", "score"])
 

@@ -309,8 +309,8 @@ def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text",
         pieces = Pieces.at(model, remembered)
         for batch in batches:
             ids, texts = batch.column("doc_id"), texts_of(batch)
-            for i in range(0, len(texts), 500):
-                part = texts[i : i + 500]
+            for i in range(0, len(texts), 200):
+                part = texts[i : i + 200]
                 made = pieces.encode(part, n_best)
                 normal = lambda x: x.replace(SPACE, " ") if pieces.plain else (pieces.normalized(x)[pieces.prefix :]).replace(SPACE, " ")
                 columns = {

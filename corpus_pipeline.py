@@ -28,7 +28,7 @@ SHINGLE_WORDS = (3, 5)
 #: Tokens that the mix may spend, as a share of all that it gets; no document is taken twice.
 MIX_FRACTION = 0.9
 #: Words that a worker remembers in the last stage, fewer than where it is the only one.
-WORDS = 100_000
+WORDS = 50_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
