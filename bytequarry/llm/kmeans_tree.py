@@ -194,9 +194,15 @@ def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall:
 
     schema = "vec_id long, vec binary, leaf long"
     parts = partitions_for(spark)
-    # A leaf's rows are spread over salts, as many as it may have blocks, so that no leaf stands in one task.
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, math.ceil(n / BLOCK / 4)))).alias("salt")
-    in_blocks = lambda df, size: saved(df.select("*", salt).repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "vec_id").select("vec_id", "vec", "leaf").mapInArrow(blocks(size), "leaf long, ids binary, vecs binary"))
+
+    def in_blocks(filed: DataFrame, size: int) -> DataFrame:
+        """Each leaf's rows in blocks. A leaf of many rows is spread over as many salts as it fills blocks."""
+        filed = saved(filed)
+        counts = filed.groupBy("leaf").agg(F.ceil(F.count("*") / size).alias("salts"))  # at most MOST_LEAVES rows and a few
+        salted = filed.join(F.broadcast(counts), "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
+        dealt = salted.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "vec_id").select("vec_id", "vec", "leaf")
+        return saved(dealt.mapInArrow(blocks(size), "leaf long, ids binary, vecs binary"))
+
     held = in_blocks(rows.select("vec_id", "vec").mapInArrow(file, schema), BLOCK)
     asked = in_blocks(rows.where(queries).select("vec_id", "vec").mapInArrow(ask, schema), QUERIES)
     pairs = held.join(asked.select("leaf", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "leaf").repartition(parts)
