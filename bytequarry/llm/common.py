@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shared import saved, shared_dir, spread, use_workers
 
-__all__ = ["crc_mod", "documents", "kept", "partitions_for", "power_of_two", "saved", "shared_dir", "spread", "texts_of", "use_workers", "words"]
+__all__ = ["Index", "crc_mod", "documents", "kept", "partitions_for", "power_of_two", "saved", "shared_dir", "spread", "texts_of", "trim", "use_workers", "words"]
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -23,6 +23,12 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def trim() -> None:
+    """Gives a worker's free memory back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _kept: list = [None, None]
 
 
@@ -33,12 +39,19 @@ def kept(*key, make):
         if _kept[1] is not None:
             _kept[:] = [None, None]
             gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library can, give free memory back
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
         _kept[:] = [key, make()]
     return _kept[1]
 
 
+class Index(dict):
+    """Numbers its keys as they are first asked for. (A defaultdict that counts itself would hold itself alive.)"""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text (0)."""
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % n

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bags import count_keys
-from .common import crc_mod, kept, saved, spread, use_workers
+from .common import Index, crc_mod, kept, saved, spread, trim, use_workers
 
 LETTERS = regex.compile(r"\p{L}+")
 #: Cost of what a language has not seen, as a decimal logarithm.
@@ -103,8 +103,8 @@ class Scorer:
         return kept("Scorer", id(model), make=lambda: cls(model))  # which holds the model, so its id stays its own
 
     def forget(self) -> None:
-        self.index: defaultdict = defaultdict()
-        self.index.default_factory = self.index.__len__
+        self.index = Index()
+        trim()
         self.rows = np.zeros((0, len(self.langs) + 1))
 
     def units_of(self, word: str) -> list[int]:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 from .common import kept
 
+# A task has one core; the library's threads would only spread its memory over their arenas.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: The public pre-tokenization pattern of byte-level BPE files with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose Unicode class may depend on a library's version; a text that holds one is left to the library as a whole.

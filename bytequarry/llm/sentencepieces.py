@@ -17,7 +17,6 @@ import heapq
 import math
 import struct
 import zlib
-from collections import defaultdict
 from itertools import islice
 from operator import concat
 
@@ -27,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, spread, texts_of, use_workers
+from .common import Index, kept, spread, texts_of, trim, use_workers
 
 SPACE = "▁"
 #: Below a model's least probable piece: what a character outside the pieces costs, as the library has it.
@@ -218,10 +217,10 @@ class Pieces:
 
     # Texts word by word: distinct words have their best ids, their score and the loss of their second best.
     def forget(self) -> None:
-        self.index: defaultdict = defaultdict()
-        self.index.default_factory = self.index.__len__
+        self.index = Index()
         self.ids: list[bytes] = []
         self.values = np.zeros((0, 2))
+        trim()
 
     def learn(self) -> None:
         """Ids, score and loss of the words that are new in the index."""
@@ -247,7 +246,7 @@ class Pieces:
     def losses(self, word: str | tuple[str], n: int) -> list[float]:
         """How much worse than its best the n best segmentations of a word are."""
         if (word, n) not in self.lists:
-            if len(self.lists) >= 50_000:
+            if len(self.lists) >= 5_000:
                 self.lists.clear()
             lists = []
             for part in self.parts(self.spelt(word)):
@@ -309,8 +308,8 @@ def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text",
         pieces = Pieces.at(model, remembered)
         for batch in batches:
             ids, texts = batch.column("doc_id"), texts_of(batch)
-            for i in range(0, len(texts), 200):
-                part = texts[i : i + 200]
+            for i in range(0, len(texts), 64):
+                part = texts[i : i + 64]
                 made = pieces.encode(part, n_best)
                 normal = lambda x: x.replace(SPACE, " ") if pieces.plain else (pieces.normalized(x)[pieces.prefix :]).replace(SPACE, " ")
                 columns = {
