@@ -18,7 +18,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Characters whose Unicode class may depend on a library's version; a text that holds one is left to the library as a whole.
 UNSURE = regex.compile(r"[՘-῿⁰-₟ꓐ-꯿\U00010000-\U0010FFFF]")
 #: Distinct stretches a worker remembers; beyond it they are set aside, and those set aside before are forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
 
 class PreTokenizer:
