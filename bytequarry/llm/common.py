@@ -45,10 +45,16 @@ def kept(*key, make):
 
 
 class Index(dict):
-    """Numbers its keys as they are first asked for. (A defaultdict that counts itself would hold itself alive.)"""
+    """Numbers its keys as they are first asked for, and lists those that are new. (A defaultdict that counts itself
+    would hold itself alive.)"""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 

@@ -17,7 +17,6 @@ import heapq
 import math
 import struct
 import zlib
-from itertools import islice
 from operator import concat
 
 import numpy as np
@@ -225,7 +224,7 @@ class Pieces:
     def learn(self) -> None:
         """Ids, score and loss of the words that are new in the index."""
         known, prefix, made = self.known.get, SPACE, []
-        for word in islice(self.index, len(self.ids), None):
+        for word in self.index.new:
             parts = self.parts(prefix + word if word.__class__ is str else word[0])
             found = known(parts[0]) or self.part(parts[0])
             if len(parts) == 1:
@@ -241,12 +240,16 @@ class Pieces:
                     loss = found[2]
             self.ids.append(b"".join(ids))
             made.append((score, loss))
-        self.values = np.concatenate([self.values, np.array(made).reshape(-1, 2)])
+        n = len(self.ids)
+        if n > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros((n, 2))])
+        self.values[n - len(made) : n] = made
+        self.index.new.clear()
 
     def losses(self, word: str | tuple[str], n: int) -> list[float]:
         """How much worse than its best the n best segmentations of a word are."""
         if (word, n) not in self.lists:
-            if len(self.lists) >= 5_000:
+            if len(self.lists) >= 20_000:
                 self.lists.clear()
             lists = []
             for part in self.parts(self.spelt(word)):
@@ -308,8 +311,8 @@ def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text",
         pieces = Pieces.at(model, remembered)
         for batch in batches:
             ids, texts = batch.column("doc_id"), texts_of(batch)
-            for i in range(0, len(texts), 64):
-                part = texts[i : i + 64]
+            for i in range(0, len(texts), 200):
+                part = texts[i : i + 200]
                 made = pieces.encode(part, n_best)
                 normal = lambda x: x.replace(SPACE, " ") if pieces.plain else (pieces.normalized(x)[pieces.prefix :]).replace(SPACE, " ")
                 columns = {
