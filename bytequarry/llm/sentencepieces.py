@@ -307,12 +307,14 @@ def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text",
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_equal boolean" + ", ids array<int>" * with_ids
 
+    step = 200 if remembered > 100_000 else 64  # texts at a time
+
     def encode(batches):
         pieces = Pieces.at(model, remembered)
         for batch in batches:
             ids, texts = batch.column("doc_id"), texts_of(batch)
-            for i in range(0, len(texts), 200):
-                part = texts[i : i + 200]
+            for i in range(0, len(texts), step):
+                part = texts[i : i + step]
                 made = pieces.encode(part, n_best)
                 normal = lambda x: x.replace(SPACE, " ") if pieces.plain else (pieces.normalized(x)[pieces.prefix :]).replace(SPACE, " ")
                 columns = {
