@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, saved, spread, use_workers, words
 from .components import as_links, connected_components, forest
+from .shingle_sets import jaccard_components
 
 MAX_BITS = 3
 #: Generator of the code, x^11+x^9+x^7+x^6+x^5+x+1 (a fixed value).
@@ -225,17 +226,19 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return rows.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3, 5), text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3, 5), text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS, block: int = BLOCK, set_words: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id), a row for each doc_id that has a smaller one reachable through links; rows without id take
     no part.
 
-    Two documents link if their fingerprints over shingles of any of the widths differ in max_bits bits or fewer.
+    Two documents link if their sets of shingles of set_words words have a Jaccard similarity of at least `least`, or if
+    their fingerprints over shingles of any of the widths differ in max_bits bits or fewer.
     """
-    links = None
+    docs = docs.where(F.col(doc_id).isNotNull())
+    links = jaccard_components(docs, text, doc_id, set_words, least).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     for width in widths:
-        rows = saved(fingerprints(docs.where(F.col(doc_id).isNotNull()), text, doc_id, width))
+        rows = saved(fingerprints(docs, text, doc_id, width))
         own = rows.join(_labels(rows, max_bits, block), "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-        links = own if links is None else links.union(own)
+        links = links.union(own)
     roots = saved(connected_components(links))
     named = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     return roots.join(named, "root").where("id <> component_id").select(F.col("id").alias("doc_id"), "component_id")
