@@ -13,10 +13,10 @@ necessarily the one that its merges give.
 
 from __future__ import annotations
 
-import heapq
 import math
 import struct
 import zlib
+from bisect import insort
 from operator import concat
 
 import numpy as np
@@ -30,8 +30,11 @@ from .common import Index, kept, spread, texts_of, trim, use_workers
 SPACE = "▁"
 #: Below a model's least probable piece: what a character outside the pieces costs, as the library has it.
 UNKNOWN = 10.0
-#: Distinct words that a worker remembers; of parts of words it remembers two sets of a third of that.
-REMEMBERED = 700_000
+#: Scores are multiples of one in so many: sums of them are exact in double precision, up to 5e8.
+GRAIN = 1 << 24
+#: Distinct words that a worker remembers, of LETTERS characters each on average; of parts of words it remembers two sets
+#: of a third of that, none longer than LONG.
+REMEMBERED, LETTERS, LONG = 700_000, 24, 200
 
 
 def merged(lists: list[list[float]], n: int) -> list[float]:
@@ -55,8 +58,8 @@ class Pieces:
             total = math.log(sum(1 / (1 + k) for k in range(len(plain))))
             order = sorted(plain, key=lambda i: (-score[i] if score[i] > -1e8 else 1e9, i))
             score = {i: -math.log(1 + k) - total for k, i in enumerate(order)}
+        score = {i: round(s * GRAIN) / GRAIN for i, s in score.items()}  # so that sums are exact, and equal ones equal
         self.pieces = {sp.id_to_piece(i): (i, score[i]) for i in plain}
-        self.starts = dict.fromkeys((p[:k] for p in self.pieces for k in range(1, len(p) + 1)), ()) | self.pieces  # (): no piece, but the start of one
         self.ends: dict = {}  # pieces by their letters from the last to the first: (letters before, piece or None)
         for p, found in self.pieces.items():
             node = self.ends
@@ -78,6 +81,7 @@ class Pieces:
         self.known: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
         self.lists: dict[tuple, list[float]] = {}
+        self.last: tuple = ("", [])
         self.forget()
 
     @classmethod
@@ -95,7 +99,7 @@ class Pieces:
         together = self.together
         if together.issuperset(map(concat, text, text[1:])):
             return [text]
-        if text[-1] in self.alone and len(text) > 1:
+        if len(text) > 1 and text[-1] in self.alone and text[-2] not in self.alone:
             return [*self.parts(text[:-1]), text[-1]]
         out, at = [], 0
         for i in range(1, len(text)):
@@ -105,96 +109,114 @@ class Pieces:
         out.append(text[at:])
         return out
 
-    def edges(self, part: str) -> tuple[list[float], list[tuple[int, int, int | tuple, float]]]:
-        """(best score from the start to each position, edges: start, end, id or ids, score)."""
-        n, get = len(part), self.starts.get
-        best, edges = [0.0] + [-math.inf] * n, []
-        for i in range(n):
-            here, single = best[i], False
-            for j in range(i + 1, n + 1):
-                found = get(part[i:j])
-                if found is None:
+    def ending(self, part: str, at: int) -> list[tuple[int, int | tuple, float]]:
+        """(start, id or ids, score) of the pieces that end at a position, the shortest first; a character that is no piece has one too."""
+        out, node, i = [], self.ends, at
+        while i:
+            node = node.get(part[i - 1])
+            if node is None:
+                break
+            i -= 1
+            node, piece = node
+            if piece:
+                out.append((i, *piece))
+        if not out or out[0][0] < at - 1:
+            out.insert(0, (at - 1, self.outside(part[at - 1]), self.unknown))
+        return out
+
+    def forward(self, part: str) -> list[float]:
+        """Best score from the start to each position (Viterbi). A long part is remembered till the next, as it comes
+        several times in a row."""
+        if part == self.last[0]:
+            return self.last[1]
+        best, tree, unknown, least = [0.0], self.ends, self.unknown, -math.inf
+        for j in range(1, len(part) + 1):
+            node, i, one, single = tree, j, least, False
+            while i:
+                node = node.get(part[i - 1])
+                if node is None:
                     break
-                if found:
-                    if j == i + 1:
+                i -= 1
+                node, piece = node
+                if piece:
+                    value = best[i] + piece[1]
+                    if value > one:
+                        one = value
+                    if i == j - 1:
                         single = True
-                    score = here + found[1]
-                    if score > best[j]:
-                        best[j] = score
-                    edges.append((i, j, found[0], found[1]))
-            if not single:
-                best[i + 1] = max(best[i + 1], here + self.unknown)
-                edges.append((i, i + 1, self.outside(part[i]), self.unknown))
-        return best, edges
+            if not single and best[j - 1] + unknown > one:
+                one = best[j - 1] + unknown
+            best.append(one)
+        if len(part) > LONG:
+            self.last = part, best
+        return best
 
     def outside(self, letter: str) -> tuple[int, ...]:
         """Ids of a character that no piece has: its bytes, or the unknown piece."""
         return tuple(self.bytes[b] for b in letter.encode("utf-8", "surrogatepass")) if self.bytes else (self.unk,)
 
     def segmentations(self, part: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of a part, best first: backward A-star over the lattice."""
-        best, edges = self.edges(part)
-        ends = [[] for _ in range(len(part) + 1)]
-        for start, end, ids, score in edges:
-            ends[end].append((start, ids, score))
-        queue, turn, out = [(-best[-1], 0, len(part), 0.0, None)], 0, []
-        while queue and len(out) < n:
-            total, _, at, own, path = heapq.heappop(queue)
-            if at == 0:
-                ids = []
-                while path:
-                    ids += path[0] if isinstance(path[0], tuple) else (path[0],)
-                    path = path[1]
-                out.append((-total, ids))
-                continue
-            for start, ids, score in ends[at]:
-                turn += 1
-                heapq.heappush(queue, (-(best[start] + own + score), turn, start, own + score, (ids, path)))
-        return out
+        """The n best segmentations of a part, best first: backward A-star over the lattice.
+
+        An open end of a segmentation, from a position to the part's end, has as its estimate the score of the best
+        segmentation that ends so, which the forward scores tell exactly. Scores are exact sums (see __init__), so the
+        best open end goes on at an equal estimate until it meets the start, however many tie with it; no two ends share
+        a segmentation, so no more of them need to wait than segmentations are asked for.
+        """
+        best, edges = self.forward(part), self.ending
+        queue, out, turn = [], [], 0  # the queue: ends that wait, best first
+        total, at, own, path = best[-1], len(part), 0.0, None
+        while True:
+            room, bar = n - 1 - len(out), queue[-1][0] if queue and len(queue) == n - 1 - len(out) else math.inf
+            while at:
+                on = None
+                for start, ids, score in edges(part, at):
+                    score += own
+                    value = best[start] + score
+                    if value == total and on is None:
+                        on = start, score, (ids, path)
+                        continue
+                    if -value < bar and room:
+                        turn += 1
+                        insort(queue, (-value, turn, start, score, (ids, path)))
+                        if len(queue) > room:
+                            queue.pop()
+                        if len(queue) == room:
+                            bar = queue[-1][0]
+                at, own, path = on
+            ids = []
+            while path:
+                ids += path[0] if path[0].__class__ is tuple else (path[0],)
+                path = path[1]
+            out.append((total, ids))
+            if not queue or len(out) == n:
+                return out
+            total, _, at, own, path = queue.pop(0)
+            total = -total
 
     def _part(self, part: str) -> tuple[bytes, float, float]:
-        """(ids as bytes, score, how much worse the second best is) of a part: forward Viterbi with the two best scores to each
-        position; the pieces that end at a position are found backwards, in a tree of their letters."""
-        n, ends = len(part), self.ends
-        first, second, by = [0.0] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            one = two = -math.inf
-            node, i, single = ends, j, False
-            while i:
-                i -= 1
-                node = node.get(part[i])
-                if node is None:
-                    break
-                node, piece = node
-                if piece:
-                    own, score = piece
-                    if i == j - 1:
-                        single = True
-                    value = first[i] + score
-                    if value > one:
-                        two = second[i] + score
-                        if one > two:
-                            two = one
-                        one, start, best = value, i, own
-                    elif value > two:
-                        two = value
-            if not single:
-                i, value = j - 1, first[j - 1] + self.unknown
-                if value > one:
-                    two = max(one, second[i] + self.unknown)
-                    one, start, best = value, i, self.outside(part[i])
-                elif value > two:
-                    two = value
-            first[j], second[j], by[j] = one, two, (start, best)
-        ids, j = [], n
-        while j:
-            j, own = by[j]
-            if own.__class__ is tuple:
-                ids += own[::-1]
-            else:
-                ids.append(own)
+        """(ids as bytes, score, how much worse the second best is) of a part: the same search for two, of which only one
+        end waits; its estimate is exact, so the second segmentation needn't be opened to know its score."""
+        best, edges = self.forward(part), self.ending
+        at, total, own, bar, ids = len(part), best[-1], 0.0, -math.inf, []
+        while at:
+            on = None
+            for edge in edges(part, at):
+                value = best[edge[0]] + (own + edge[2])
+                if value > bar:
+                    if value == total and on is None:
+                        on = edge
+                    else:
+                        bar = value
+                elif value == total and on is None:
+                    on = edge
+            at, piece, score = on
+            own += score
+            ids.append(piece)
+        if tuple in map(type, ids):
+            ids = [x for i in ids for x in ((i,) if i.__class__ is int else i[::-1])]
         ids.reverse()
-        return struct.pack(f"<{len(ids)}I", *ids), first[n], first[n] - second[n]
+        return struct.pack(f"<{len(ids)}I", *ids), total, total - bar
 
     def part(self, part: str) -> tuple[bytes, float, float]:
         """The same, remembered."""
@@ -203,7 +225,8 @@ class Pieces:
             found = self.before.get(part) or self._part(part)
             if len(self.known) > self.remembered // 3:
                 self.before, self.known = self.known, {}
-            self.known[part] = found
+            if len(part) <= LONG:
+                self.known[part] = found
         return found
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
@@ -219,12 +242,14 @@ class Pieces:
         self.index = Index()
         self.ids: list[bytes] = []
         self.values = np.zeros((0, 2))
+        self.held = 0
         trim()
 
     def learn(self) -> None:
         """Ids, score and loss of the words that are new in the index."""
         known, prefix, made = self.known.get, SPACE, []
         for word in self.index.new:
+            self.held += len(word) if word.__class__ is str else len(word[0])
             parts = self.parts(prefix + word if word.__class__ is str else word[0])
             found = known(parts[0]) or self.part(parts[0])
             if len(parts) == 1:
@@ -248,16 +273,19 @@ class Pieces:
 
     def losses(self, word: str | tuple[str], n: int) -> list[float]:
         """How much worse than its best the n best segmentations of a word are."""
-        if (word, n) not in self.lists:
-            if len(self.lists) >= 20_000:
-                self.lists.clear()
-            lists = []
-            for part in self.parts(self.spelt(word)):
+        out = self.lists.get((word, n))
+        if out is None:
+            lists, spelt = [], self.spelt(word)
+            for part in self.parts(spelt):
                 if self.part(part)[2] < math.inf:
                     found = self.segmentations(part, n)
                     lists.append([found[0][0] - f[0] for f in found])
-            self.lists[word, n] = merged(lists, n)
-        return self.lists[word, n]
+            out = merged(lists, n)
+            if len(self.lists) >= 20_000:
+                self.lists.clear()
+            if len(spelt) <= LONG:
+                self.lists[word, n] = out
+        return out
 
     def words(self, text: str) -> list[str | tuple[str]]:
         """A text cut at its single spaces, each word standing for a space and itself; or, where spaces stand together or
@@ -284,7 +312,7 @@ class Pieces:
             some = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 > 0 else np.arange(len(loss) if n > 1 else 0)
             near = merged([self.losses(w[i], n) for i in some.tolist() if loss[i] < math.inf], n)
             out.append((b"".join(map(self.ids.__getitem__, own.tolist())), [score - x for x in near]))
-        if len(self.index) > self.remembered:
+        if len(self.index) > self.remembered or self.held > LETTERS * self.remembered:
             self.forget()
         return out
 
@@ -294,18 +322,19 @@ class Pieces:
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, scores, decoded_equal[, ids]) for each row.
+def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, remembered: int = REMEMBERED, with_library: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, scores, decoded_equal[, ids][, library_ids]) for each row.
 
     ids: best segmentation (array of int); ids_crc32: of the ids as little-endian unsigned 32-bit integers; scores:
     those of the n_best best segmentations, best first, fewer if there are no more; decoded_equal: decoding the ids
-    gives the normalized text back. model: path of a SentencePiece model, readable on every worker. Null text counts as
-    empty (no pieces, one segmentation of score 0); remembered: words that a worker keeps (some 0.5 KB each); null ids stay null; repeated rows give repeated results; an empty
-    table an empty result. Equal scores stand in the order the search meets them.
+    gives the normalized text back; library_ids: the library's own ids, for a BPE model those of its merges. model: path of a SentencePiece model, readable on every worker. Null text counts as
+    empty (no pieces, one segmentation of score 0); remembered: words that a worker keeps (some 0.5 KB each); null ids
+    stay null; repeated rows give repeated results; an empty table an empty result. Of equally good segmentations the
+    one whose last pieces are shorter comes first.
     """
     use_workers(docs.sparkSession)
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
-    schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_equal boolean" + ", ids array<int>" * with_ids
+    schema = "doc_id long, n_pieces long, ids_crc32 long, scores array<double>, decoded_equal boolean" + ", ids array<int>" * with_ids + ", library_ids array<int>" * with_library
 
     step = 200 if remembered > 100_000 else 64  # texts at a time
 
@@ -327,6 +356,8 @@ def segmented(docs: DataFrame, model: str, n_best: int = 4, text: str = "text",
                 if with_ids:
                     flat = np.frombuffer(b"".join(b for b, _ in made), "<i4")
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(b) // 4 for b, _ in made)]), pa.int32()), pa.array(flat, pa.int32()))
+                if with_library:
+                    columns["library_ids"] = pa.array(pieces.library.encode(part, num_threads=1), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return rows.mapInArrow(encode, schema)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -140,6 +141,28 @@ def test_segmentations_against_all():
             assert p.decode(np.array(own, "<u4").tobytes()) == x
 
 
+def test_segmentations_of_long_runs():
+    p = sentencepieces.Pieces(PIECES)
+    for run in ("!", ".", "-", " ", "ab", ";", ",", "=", "x", "漢", "\n", "!;"):
+        x = "a" + run * (100_000 // len(run))
+        start = time.process_time()
+        ids, scores = p.encode([x], 4)[0]
+        assert p.decode(ids) == x and len(scores) in (1, 2, 4) and scores == sorted(scores, reverse=True)
+        assert time.process_time() - start < 15
+    for run in ("!", ".", " ", "ab", "="):  # ties: the n best of n are the first of the 20 best
+        x = run * 9
+        assert [s for s, _ in p.n_best(x, 4)] == [s for s, _ in p.n_best(x, 20)][:4]
+        assert len({tuple(ids) for _, ids in p.segmentations(p.parts(p.normalized(x))[-1], 20)}) == len(p.segmentations(p.parts(p.normalized(x))[-1], 20))
+
+
+def test_library_ids(docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r in sentencepieces.segmented(docs, PIECES, with_library=True).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert r.library_ids == sp.encode(r.text or "")
+
+
 def test_segmented(texts, empty):
     made = sentencepieces.segmented(texts, PIECES, with_ids=True)
     got = made.collect()
