@@ -15,7 +15,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The public pre-tokenization pattern of byte-level BPE files with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose Unicode class may depend on a library's version; a text that holds one is left to the library as a whole.
+#: Characters whose Unicode class may depend on a library's version; a text that holds one is cut by the library itself.
 UNSURE = regex.compile(r"[՘-῿⁰-₟ꓐ-꯿\U00010000-\U0010FFFF]")
 #: Distinct stretches a worker remembers; beyond it they are set aside, and those set aside before are forgotten.
 REMEMBERED = 800_000
@@ -46,21 +46,23 @@ class PreTokenizer:
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens in order; added special tokens inside the text are pieces of their own, as the library has it.
 
-        A text of unsure characters is one single piece, so that the library cuts it itself.
+        A text of unsure characters is cut by the library's own pre-tokenizer, which is slower, any other by its pattern.
         """
         if not text:
             return []
-        if not self.sure(text):
-            return [text]
+        find = self.find if self.sure(text) else self.by_library
         if self.special and any(s in text for s in self.special):
             out = []
             for i, part in enumerate(self.cut.split(text)):
                 if i % 2:
                     out.append(part)
                 elif part:
-                    out += self.find(part)
+                    out += find(part)
             return out
-        return self.find(text)
+        return find(text)
+
+    def by_library(self, text: str) -> list[str]:
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]

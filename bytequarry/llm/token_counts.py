@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bags import CORE_KEYS, bag_sums, core_of, count_keys
+from .bags import CORE_KEYS, LONG_KEY, bag_sums, core_of, count_keys, joined_key, row_key
 from .common import saved, spread, texts_of, use_workers
 from .pretokens import PreTokenizer
 
@@ -21,7 +21,8 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
     A null id stays null. Repeated rows give repeated results. An empty table gives an empty result.
     tokenizer: path of a byte-level BPE file of the tokenizers library, readable on every worker. No begin, end or
     added tokens; special strings inside a text count as the library's default has it (one token).
-    core_keys: most pre-tokens that are broadcast; rarer ones are joined through a shuffle.
+    core_keys: most pre-tokens that are broadcast; rarer ones are joined through a shuffle, long ones by a digest of 128
+    bits.
     """
     spark = docs.sparkSession
     use_workers(spark)
@@ -37,24 +38,25 @@ def token_counts(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
         for b in batches:
             keys = b.column("key").to_pylist()
             n = [len(ids) for i in range(0, len(keys), 5000) for ids in encode(keys[i : i + 5000])]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("total"), pa.array(n, pa.int64())], ["key", "total", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(joined_key, keys), pa.string()), b.column("total"), pa.array(n, pa.int64())], ["key", "total", "size"])
 
     vocabulary = saved(count_keys(rows.select("text"), bags).mapInArrow(sizes, "key string, total long, size long"))
     core, least = core_of(vocabulary, "size", core_keys)
     shared = spark.sparkContext.broadcast(core)
 
-    def split(batch):
+    def split(batches):
         size, pieces = shared.value, PreTokenizer.at(tokenizer).pieces
         get = size.get
-        for i, x in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+        for i, x in (row for b in batches for row in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True)):
             bag, known, rare = Counter(pieces(x)), 0, {}
             for k, n in bag.items():
-                s = get(k)
+                s = get(k if len(k) <= LONG_KEY else joined_key(k))
                 if s is None:
                     rare[k] = n
                 else:
                     known += n * s
-            yield (i, len(x) if x.isascii() else len(x.encode())), (known,), rare
+            raw = x.encode()
+            yield row_key(i, raw), (i, len(raw)), (known,), rare
 
     out = bag_sums(rows, {"doc_id": "long", "n_bytes": "long"}, split, vocabulary, "size", least, {"n_tokens": "long"}, {"n_tokens": lambda n, v: n * v})
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bytequarry.llm import bloom_lm, golay_simhash, language_id, mixing, pii_crf, pretokens, queries, sentencepieces, token_counts, token_files
+from bytequarry.llm import bags, bloom_lm, golay_simhash, language_id, mixing, pii_crf, pretokens, queries, sentencepieces, token_counts, token_files
 
 BYTES, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -42,6 +42,42 @@ def test_token_counts(texts):
         assert Counter(map(tuple, token_counts.token_counts(texts, BYTES, core_keys=core).collect())) == want
 
 
+SCRIPTS = {
+    "Vietnamese": "Tiếng Việt là ngôn ngữ của người Việt và là ngôn ngữ chính thức tại Việt Nam.",
+    "Arabic": "اللغة العربية هي أكثر اللغات السامية تحدثًا، ١٢٣ وإحدى أكثر اللغات انتشارًا في العالم.",
+    "Hindi": "हिन्दी विश्व की एक प्रमुख भाषा है, एवं भारत की एक राजभाषा है। १२३",
+    "Hebrew": "עברית היא שפה שמית, ממשפחת השפות האפרו-אסיאתיות.",
+    "Thai": "ภาษาไทย เป็นภาษาราชการ ของประเทศไทย",
+    "emoji": "a plain text 😀 with one mark 👩‍👩‍👧 and <|endoftext|> more 🎉🎉 of it 𝔸𝔹",
+}
+
+
+def test_pretokens_of_all_scripts(spark):
+    library, cut = Tokenizer.from_file(BYTES), pretokens.PreTokenizer(BYTES)
+    for x in SCRIPTS.values():
+        pieces = cut.pieces(x)
+        assert len(pieces) > 3 and "".join(pieces) == x
+        assert sum(map(len, cut.encode_pieces(pieces))) == len(library.encode(x, add_special_tokens=False).ids)
+    rows = [(i, x * (1 + i % 3)) for i, x in enumerate([*SCRIPTS.values(), "y" * 5000, "😀" * 5000] * 4)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter((i, len(x.encode()), n := len(library.encode(x, add_special_tokens=False).ids), n > 1024) for i, x in rows)
+    for core in (300_000, 0):
+        assert Counter(map(tuple, token_counts.token_counts(df, BYTES, core_keys=core).collect())) == want
+
+
+def test_token_counts_of_no_rows(empty, tmp_path):
+    assert token_counts.token_counts(empty, BYTES).count() == 0
+    assert token_files.token_files(empty, BYTES).count() == 0
+
+
+def test_core_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(bags, "CORE_BYTES", 1000)
+    df = spark.createDataFrame([("a", 100, 1), ("b" * 900, 50, 2), ("c" * 900, 20, 3)], "key string, total long, size long")
+    core, least = bags.core_of(df, "size")
+    assert sorted(core.values()) == [1, 2] and 20 < least <= 50
+    assert bags.joined_key("x" * 64) == "x" * 64 and len(bags.joined_key("x" * 65)) == 33
+
+
 def test_token_files(texts, tmp_path):
     library = Tokenizer.from_file(BYTES)
     order = sorted(rows_of(texts), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -259,17 +295,71 @@ def test_bloom_lm(texts, empty):
     assert bloom_lm.bloom_lm_scores(empty).count() == 0
 
 
+def quantised(n):
+    """What the filter gives back of a count."""
+    level = math.floor(2 * math.log2(n) + 1e-9) if n else -1
+    return {-1: 0, 0: 1, 2: 2, 3: 3}.get(level, 2 ** ((level + 0.5) / 2))
+
+
+def model_scores(rows, learned, least_count, mix):
+    """log10 probability of each text, with counts in dictionaries."""
+    counts = [Counter(), Counter(), Counter()]
+    for w in learned:
+        for i, t in enumerate(w):
+            counts[0][t] += 1
+            counts[1][(w[i - 1] if i else None, t)] += 1
+            if i:
+                counts[2][(w[i - 2] if i > 1 else None, w[i - 1], t)] += 1
+    n, v, docs = sum(counts[0].values()), len(counts[0]), len(learned)
+    held = [{k: quantised(c) for k, c in x.items() if c >= (least_count if i else 1)} for i, x in enumerate(counts)]
+    out = []
+    for w in rows:
+        total = 0.0
+        for i, t in enumerate(w):
+            p = (held[0].get(t, 0) + 0.5) / (n + 0.5 * (v + 1))
+            context = held[0].get(w[i - 1], 0) if i else docs
+            found = min(context, held[1].get((w[i - 1] if i else None, t), 0))
+            p = (found + mix * p) / (context + mix)
+            before = min(held[1].get((w[i - 2] if i > 1 else None, w[i - 1]), 0), held[0].get(w[i - 2], 0) if i > 1 else docs) if i else 0
+            found = min(before, held[2].get((w[i - 2] if i > 1 else None, w[i - 1], t), 0) if i else 0)
+            p = (found + mix * p) / (before + mix)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("max_bits", "least_count"), [(1 << 40, 2), (0, 2), (1 << 40, 1)])
+def test_bloom_scores(texts, monkeypatch, max_bits, least_count):
+    """Score by score, by a broadcast filter and by segments that answer; 1,024 bits a number leave next to no false answers."""
+    monkeypatch.setattr(bloom_lm, "CHUNK_TEXTS", 7)
+    rows = [(i, [*tokens(x), " "]) for i, x in rows_of(texts)]
+    out = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
+    want = defaultdict(list)
+    for (i, _), s in zip(rows, model_scores([w for _, w in rows], [w for i, w in rows if not out(i)], least_count, 1000.0), strict=True):
+        want[i].append(s)
+    got = bloom_lm.bloom_lm_scores(texts, max_bits=max_bits, bits_each=1024, least_count=least_count).collect()
+    assert len(got) == len(rows)
+    close = [any(math.isclose(r.score, s, rel_tol=1e-6) for s in want[r.doc_id]) for r in got]
+    assert sum(close) >= 0.99 * len(close)
+    assert all(any(math.isclose(r.score, s, rel_tol=1e-2) for s in want[r.doc_id]) for r in got)
+
+
+def test_bloom_scores_do_not_depend_on_the_way(texts):
+    ways = [sorted(map(str, bloom_lm.bloom_lm_scores(texts, max_bits=m).select("doc_id", "n_known", F.round("score", 9)).collect())) for m in (1 << 40, 0)]
+    assert ways[0] == ways[1]
+
+
 def test_filter_gives_counts_back():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1) & ~np.uint64(255)
     level = rng.integers(2, 12, 5000)
     buckets, size = 4, 1 << 12
-    own = np.zeros((buckets, size), np.uint64)
+    made = bloom_lm.Filter(size, buckets, [0, 2], np.zeros(buckets * size, np.uint64))
     for b in range(buckets):
         at = np.flatnonzero(h >> np.uint64(62) == b)
-        row = {"hashes": h[at].tobytes(), "levels": level[at].astype(np.uint8).tobytes(), "ends": [0, len(at)]}
-        own[b] = np.frombuffer(bloom_lm.segment(size, buckets, [0, 2], row), np.uint64)
-    made = bloom_lm.Filter(own.ravel(), buckets, [0, 2])
+        own = made.segment({"hashes": h[at].tobytes(), "levels": level[at].astype(np.uint8).tobytes(), "ends": [0, len(at)]})
+        made.bits[b * size : (b + 1) * size] = own
+        assert (made.levels(h[at], 1, own) >= level[at]).all()
     found = made.levels(h, 1)
     assert (found >= level).all() and (found == level).mean() > 0.9
     other = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
