@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shared import saved, shared_dir, spread, use_workers
 
-__all__ = ["Index", "crc_mod", "documents", "kept", "partitions_for", "power_of_two", "saved", "shared_dir", "spread", "texts_of", "trim", "use_workers", "words"]
+__all__ = ["Index", "crc_mod", "documents", "kept", "partitions_for", "power_of_two", "quoted", "saved", "shared_dir", "spread", "texts_of", "trim", "use_workers", "words"]
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -71,6 +71,11 @@ def power_of_two(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
+def quoted(column: str) -> str:
+    """A column's name as Spark takes it whole, dots and all."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -1,6 +1,7 @@
-"""The language model keeps more than the most frequent words and n-grams."""
+"""The language model keeps all words and n-grams that it learns from."""
 
 import random
+import zlib
 
 from bytequarry.llm import language_id
 
@@ -21,6 +22,9 @@ def test_language_knows_rarer_words(spark):
     finally:
         language_id.fit = fit
     words = {w for i, x, _ in rows if language_id.LETTERS.fullmatch(x.split()[0]) for w in x.split()}
-    known = seen[0]["units"]
-    assert len(known[0]) > 20_000 * 0.9 and len(known[0]) <= len(words)
-    assert len(known[5]) > 16_000
+    model = seen[0]
+    learned = {w for i, x, _ in rows for w in x.split() if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(learned) > 20_000 * 0.9 and learned <= words
+    assert (model.find(language_id.hashed(sorted(learned), 0)) >= 0).all()
+    five = sorted({g for w in learned for g in language_id.grams(w, 5)})
+    assert len(five) > 16_000 and (model.find(language_id.hashed(five, 5)) >= 0).all()

@@ -135,13 +135,60 @@ def test_language(spark, sf_dir, docs, empty):
     assert {r.lang_pred for r in language_id.language_ids(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def scored_by_hand(learned, texts):
+    """(language, score) of texts, by dictionaries. learned: (lang, text)."""
+    counts = defaultdict(Counter)
+    for lang, text in learned:
+        for w in language_id.LETTERS.findall((text or "").lower()):
+            counts[lang, 0][w] += 1
+            for n in range(1, 6):
+                counts[lang, n].update(language_id.grams(w, n))
+    langs = sorted({k for k, _ in learned})
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    cost = lambda k, n, u: -math.log10(counts[k, n][u] / totals[k, n]) if counts[k, n][u] else language_id.UNSEEN
+    out = []
+    for x in texts:
+        words, sums = language_id.LETTERS.findall((x or "").lower()), dict.fromkeys(langs, 0.0)
+        for w in words:
+            for units in [[(0, w)], *([(n, g) for g in language_id.grams(w, n)] for n in range(5, 0, -1))]:
+                if units := [u for u in units if any(counts[k, u[0]][u[1]] for k in langs)]:
+                    for k in langs:
+                        sums[k] += sum(cost(k, *u) for u in units) / len(units)
+                    break
+        if not words:
+            out.append(("und", 0.0))
+            continue
+        mean = {k: v / len(words) for k, v in sums.items()}
+        best = min(langs, key=lambda k: (mean[k], k))
+        out.append((best, 1 / sum(10 ** -((m - mean[best]) * min(len(words), 20)) for m in mean.values())))
+    return out
+
+
+def test_language_against_brute_force(texts):
+    rows = [(r.doc_id, r.text, r.lang) for r in texts.collect()]
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 4 == 2
+    # foreign, misspelt and cut words, so that all lengths of n-grams come up
+    more = [(1000 + i, x) for i, x in enumerate(["zzzq qqxy thorg", "Ωμέγα άλφα", "qu", "ß", "fuchsbau renards", "x y z", "12", " ", "w" * 500])]
+    want = scored_by_hand([(k, x) for i, x, k in rows if k is not None and not held(i)], [x for _, x, _ in rows] + [x for _, x in more])
+    extra = texts.sparkSession.createDataFrame([(i, x, None) for i, x in more], "doc_id long, text string, lang string")
+    found = defaultdict(list)
+    for r in language_id.language_ids(texts.select("doc_id", "text", "lang").union(extra)).collect():
+        found[r.doc_id].append((r.lang_pred, round(r.score, 7)))
+    expected = defaultdict(list)
+    for i, (k, score) in zip([i for i, _, _ in rows] + [i for i, _ in more], want, strict=True):
+        expected[i].append((k, round(score, 7)))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
+
+
 def test_language_backs_off():
-    cost = lambda w: {"a": [1.0, 2.0]}.get(w)
-    known = [{"word": 0}, {"a": 1}, {"<w": 2}, {"wor": 3}, {}, {}]
-    scorer = language_id.Scorer({"units": known, "costs": np.array([[1.0, 2], [3, 1], [4, 4], [2, 5]]), "langs": ["x", "y"]})
-    assert scorer.units_of("word") == [0] and scorer.units_of("words") == [3] and scorer.units_of("wit") == [2] and scorer.units_of("za") == [1] and scorer.units_of("zz") == []
+    units = [("word", 0, [1.0, 2]), ("a", 1, [3, 1]), ("<w", 2, [4, 4]), ("wor", 3, [2, 5])]
+    unit = np.concatenate([np.repeat(language_id.hashed([u], n), 2) for u, n, _ in units])
+    model = language_id.Model(["x", "y"], unit, np.tile([0, 1], 4), np.concatenate([c for _, _, c in units]).astype(float))
+    scorer = language_id.Scorer(model)
+    place = {u: int(model.find(language_id.hashed([u], n))[0]) for u, n, _ in units}
+    row, at, share = scorer.units_of(["word", "words", "wit", "za", "zz"])
+    assert sorted(zip(row.tolist(), at.tolist(), share.tolist(), strict=True)) == [(0, place["word"], 1.0), (1, place["wor"], 1.0), (2, place["<w"], 1.0), (3, place["a"], 1.0)]
     assert scorer.score(["Word!", "za", "", "1", None])[0].tolist() == [0, 1, -1, -1, -1]
-    assert cost("b") is None
 
 
 # 4
