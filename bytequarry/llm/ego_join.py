@@ -3,7 +3,8 @@
 Unit vectors are turned to their principal axes and sorted by the cells, as wide as the greatest distance of a link,
 of a grid on the leading axes. The sorted sequence is cut into blocks; intervals of the sequence are joined from the
 whole downwards, and a pair of intervals is dropped as soon as their boxes lie further apart than a link can reach.
-Pairs of blocks that remain are joined inside tasks by the same recursion down to small leaves, which are compared
+Pairs of blocks that remain are dealt out in tiles, the pairs of two stretches of blocks, so that a block goes once to a
+tile however many pairs it has there; they are joined by the same recursion down to small leaves, which are compared
 with each other by one matrix product. A task gives back how many links each vector has and a spanning forest of
 them, never the pairs.
 """
@@ -20,14 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import partitions_for, saved
 from .components import as_links, connected_components, forest
-from .vectors import matrix, sampled, unit, usable, width_of
+from .vectors import cosines, matrix, sampled, unit, usable, width_of
 
 #: Vectors of a block, of a leaf, and blocks or intervals of an interval one level up.
 BLOCK, LEAF, FAN = 2048, 256, 8
 #: Leading axes that the grid's cells are on, and rows of which the axes are made.
 AXES, AXES_SAMPLE = 6, 20_000
-#: Room for rounding in distances between boxes.
-SLACK = 1e-9
+#: Most blocks of a stretch; a tile's two stretches stand in a task's memory.
+STRETCH = 32
+#: Room for rounding in distances between boxes; cosines this close to the bound are computed again, row by row.
+SLACK, CLOSE = 1e-9, 1e-11
 
 
 def boxes(turned: np.ndarray, lo: int, hi: int) -> dict:
@@ -133,63 +136,73 @@ def _pairs(blocks: DataFrame, reach: float) -> DataFrame:
 
 
 def _join_blocks(blocks: DataFrame, pairs: DataFrame, axes: np.ndarray, least: float, reach: float, width: str) -> DataFrame:
-    """(a, b, n): links of a spanning forest (n null), and how many vectors each is linked with in a block (b null)."""
-    data = blocks.select("seq", "rids", "copies", "vecs")
-    owner = F.when((F.col("a") + F.col("b")) % 2 == 0, F.col("a")).otherwise(F.col("b"))
-    sent = pairs.select(owner.alias("own"), (F.col("a") + F.col("b") - owner).alias("seq"))
-    rows = sent.join(data, "seq").select("own", F.lit(1).alias("kind"), "seq", "rids", "copies", "vecs")
-    owners = sent.select("own").distinct().withColumnRenamed("own", "seq").join(data, "seq")
-    rows = rows.union(owners.select(F.col("seq").alias("own"), F.lit(0).alias("kind"), "seq", "rids", "copies", "vecs"))
-    rows = rows.repartition(partitions_for(blocks.sparkSession), "own").sortWithinPartitions("own", "kind", "seq")
+    """(a, b, n): links of a spanning forest (n null), and how many vectors each is linked with in a tile (b null)."""
+    parts = partitions_for(blocks.sparkSession)
+    stretch = min(STRETCH, max(1, math.ceil(blocks.count() / math.ceil(math.sqrt(2 * parts)))))
+    tile = [F.expr(f"{c} div {stretch}").alias(f"t{c}") for c in ("a", "b")]
+    dealt = saved(pairs.select(*tile, "a", "b"))
+    jobs = dealt.groupBy("ta", "tb").agg(F.array_sort(F.collect_list(F.struct("b", "a"))).alias("pairs"))  # stretch squared at most
+    needed = dealt.select("ta", "tb", F.explode(F.array("a", "b")).alias("seq")).distinct()
+    data = needed.join(blocks.select("seq", "rids", "copies", "vecs"), "seq")
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    rows = jobs.select("ta", "tb", F.lit(-1).cast("long").alias("seq"), "pairs", none("binary", "rids"), none("binary", "copies"), none("binary", "vecs"))
+    rows = rows.union(data.select("ta", "tb", F.col("seq").cast("long"), F.lit(None).cast(jobs.schema["pairs"].dataType).alias("pairs"), "rids", "copies", "vecs"))
+    rows = rows.repartition(parts, "ta", "tb").sortWithinPartitions("ta", "tb", "seq")
 
     def load(row):
         rids, copies = (np.frombuffer(row[c], "<i8") for c in ("rids", "copies"))
         m = unit(np.frombuffer(row["vecs"], width).reshape(len(rids), -1).astype(np.float64))
-        return row["seq"], rids, copies, m, boxes(m @ axes, 0, len(rids))
-
-    def counts(rids, n):
-        at = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(rids[at]), pa.nulls(len(at), pa.int64()), pa.array(n[at])], ["a", "b", "n"])
+        return rids, copies, m, boxes(m @ axes, 0, len(rids)), np.zeros(len(rids), np.int64)
+
+    def counts(tile):
+        for rids, _, _, _, n in tile.values():
+            at = np.flatnonzero(n)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(rids[at]), pa.nulls(len(at), pa.int64()), pa.array(n[at])], ["a", "b", "n"])
+
+    def links_of(own, other):
+        same, links, size = own is other, [], 0
+
+        def leaf(x, y):
+            nonlocal links, size
+            m, v = own[2][slice(*x)], other[2][slice(*y)]
+            products = m @ v.T
+            near = products >= least
+            for i, j in zip(*np.nonzero(np.abs(products - least) <= CLOSE), strict=True):
+                near[i, j] = cosines(m[i : i + 1], v[j])[0] >= least
+            if same and x == y:
+                near &= np.tri(*near.shape, -1, dtype=bool)
+            if near.any():
+                i, j = np.nonzero(near)
+                np.add.at(own[4], i + x[0], other[1][j + y[0]])
+                np.add.at(other[4], j + y[0], own[1][i + x[0]])
+                links.append(forest(own[0][i + x[0]], other[0][j + y[0]]))
+                size += len(links[-1][0])
+                if size > 500_000:
+                    links = [forest(*(np.concatenate(c) for c in zip(*links, strict=True)))]
+                    size = len(links[0][0])
+
+        whole = lambda b: (0, len(b[0]))
+        join_intervals(whole(own), whole(other), own[3], other[3], same, reach, leaf)
+        return links
 
     def run(batches):
-        own = linked = None
+        todo, held, at = [], {}, 0
         for batch in batches:
             for row in batch.to_pylist():
-                if row["kind"] == 0:
-                    if own:
-                        yield counts(own[1], linked)
-                    own = load(row)
-                    linked = np.zeros(len(own[1]), np.int64)
+                if row["pairs"] is not None:  # a new tile: its pairs by their later block, then its blocks in order
+                    yield from counts(held)
+                    todo, held, at = [(p["a"], p["b"]) for p in row["pairs"]], {}, 0
                     continue
-                same = row["seq"] == own[0]
-                other = own if same else load(row)
-                theirs = linked if same else np.zeros(len(other[1]), np.int64)
-                links, state = [], {"n": 0}
-
-                def leaf(x, y, own=own, other=other, same=same, theirs=theirs, links=links, state=state):
-                    near = own[3][slice(*x)] @ other[3][slice(*y)].T >= least
-                    if same and x == y:
-                        near &= np.tri(*near.shape, -1, dtype=bool)
-                    if near.any():
-                        i, j = np.nonzero(near)
-                        np.add.at(linked, i + x[0], other[2][j + y[0]])
-                        np.add.at(theirs, j + y[0], own[2][i + x[0]])
-                        f = forest(own[1][i + x[0]], other[1][j + y[0]])
-                        links.append(f)
-                        state["n"] += len(f[0])
-                        if state["n"] > 500_000:
-                            links[:] = [forest(*(np.concatenate(c) for c in zip(*links, strict=True)))]
-                            state["n"] = len(links[0][0])
-
-                whole = lambda b: (0, len(b[1]))
-                join_intervals(whole(own), whole(other), own[4], other[4], same, reach, leaf)
+                held[row["seq"]] = load(row)
+                links = []
+                while at < len(todo) and todo[at][1] <= row["seq"]:
+                    links += links_of(held[todo[at][0]], held[todo[at][1]])
+                    at += 1
                 if links:
                     found = as_links(*forest(*(np.concatenate(c) for c in zip(*links, strict=True))))
                     yield found.append_column("n", pa.nulls(found.num_rows, pa.int64()))
-                if not same and theirs.any():
-                    yield counts(other[1], theirs)
-        if own:
-            yield counts(own[1], linked)
+        yield from counts(held)
 
     return rows.mapInArrow(run, "a long, b long, n long")
 

@@ -1,16 +1,19 @@
 """Operator 6: approximate nearest neighbours in a hierarchical k-means tree.
 
-The tree is made of a bounded sample; every vector is then filed in the leaf that the nearest centres lead to. A query
-walks down to its nearest leaf and puts the branches it passes by in a priority queue, from which it takes the nearest
-one again and again: best bin first. How many leaves a query visits is widened, on sampled queries with known answers,
-until their recall is reached. Vectors stand in blocks of their leaf, queries in blocks of the leaves they visit, and
-each pair of blocks is one matrix product; a leaf with very many vectors has many blocks.
+The tree's upper part is made of a bounded sample; every vector is then filed in the leaf that the nearest centres lead
+to. A leaf that still holds many vectors gets a tree of its own, of a bounded sample of these, and so on: leaves follow
+the number of vectors. A query walks down to its nearest leaf and puts the branches it passes by in a priority queue,
+from which it takes the nearest one again and again: best bin first. How many leaves a query visits is widened, on
+sampled queries with known answers, until their recall is reached. Leaves that lie side by side in the tree form a
+group; vectors stand in blocks of their group, a query goes once to a group with the list of leaves it visits there, and
+each leaf takes one matrix product with the queries that visit it.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +21,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, saved
-from .vectors import cosines, matrix, sampled, unit, usable, width_of
+from .vectors import matrix, sampled, unit, usable, width_of
 
-#: Rows of which the tree is made; children of a node; vectors meant for a leaf; most leaves.
-SAMPLE, FAN, LEAF_ROWS, MOST_LEAVES = 20_000, 8, 1000, 4096
+#: Rows of which a tree is made; children of a node; vectors meant for a leaf, and for a leaf of a sample at least.
+SAMPLE, FAN, LEAF_ROWS, LEAST = 20_000, 8, 32, 8
+#: A leaf of more than so many times the vectors meant for it is split by a tree of its own.
+SPLIT = 16
 #: Queries on which visits are calibrated, and the recall at which widening stops.
-TRIALS, RECALL = 400, 0.97
-#: Vectors and queries of a block.
-BLOCK, QUERIES = 4096, 1024
+TRIALS, RECALL = 200, 0.97
+#: Leaves of a group; vectors and queries of a block.
+GROUP, BLOCK, QUERIES = 64, 4096, 1024
+#: Room for the numbers of a tree's leaves in those of the next one down.
+SPAN = 1 << 15
 #: Scores this close are computed again, row by row.
 CLOSE = 1e-11
 
@@ -36,14 +43,14 @@ class Tree:
     def __init__(self, sample: np.ndarray, leaves: int, seed: int = 0):
         self.rng = np.random.default_rng(seed)
         self.centres, self.children, self.leaf = [np.zeros(sample.shape[1])], [[]], [-1]
-        least = max(8, len(sample) / max(1, leaves))
+        least = max(LEAST, len(sample) / max(1, leaves))
         self.n_leaves = 0
         self._split(0, sample, least)
         self.centres = np.array(self.centres)
         del self.rng
 
     def _split(self, node: int, rows: np.ndarray, least: float) -> None:
-        if len(rows) <= least * 1.5 or self.n_leaves >= MOST_LEAVES or not (rows != rows[:1]).any():
+        if len(rows) <= least * 1.5 or not (rows != rows[:1]).any():
             self.leaf[node] = self.n_leaves
             self.n_leaves += 1
             return
@@ -116,14 +123,30 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, trials: int
     return most
 
 
-def top(query_id: int, query: np.ndarray, scores: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """(score, id) of the k nearest of a block, ties to smaller ids; scores are a first estimate."""
-    scores = np.where(ids == query_id, -3.0, scores)
-    at = np.flatnonzero(scores >= (np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -2) - CLOSE)
-    at = at[ids[at] != query_id]
-    exact = cosines(rows[at], query)
-    order = np.lexsort((ids[at], -exact))[:k]
-    return list(zip(exact[order].tolist(), ids[at][order].tolist(), strict=True))
+def nearest_in(q: np.ndarray, q_ids: np.ndarray, asked: np.ndarray, asked_leaf: np.ndarray, v: np.ndarray, ids: np.ndarray, leaf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score): the k nearest of each query among unit vectors v of the leaves that it visits, ties to
+    smaller ids. leaf: of each vector, ascending; asked, asked_leaf: place of a query and a leaf that it visits, by leaf."""
+    found = []
+    first = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
+    for lo, hi in zip(first, np.append(first[1:], len(leaf)), strict=True):
+        who = asked[np.searchsorted(asked_leaf, leaf[lo]) : np.searchsorted(asked_leaf, leaf[lo], "right")]
+        if len(who):
+            scores = q[who] @ v[lo:hi].T
+            scores[q_ids[who][:, None] == ids[lo:hi]] = -3.0
+            bar = np.partition(scores, hi - lo - k, axis=1)[:, hi - lo - k : hi - lo - k + 1] if hi - lo > k else -2.0
+            i, j = np.nonzero(scores >= np.maximum(bar, -2.0) - CLOSE)
+            found.append((who[i], lo + j))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = q_ids[a] != ids[b]
+    a, b = a[keep], b[keep]
+    exact = (q[a] * v[b]).sum(axis=1)
+    order = np.lexsort((ids[b], -exact, a))
+    a, b, exact = a[order], b[order], exact[order]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+    best = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < k
+    return q_ids[a[best]], ids[b[best]], exact[best]
 
 
 def nearest(table: DataFrame, queries: Column, k: int = 5, recall: float = RECALL, vec_id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -150,81 +173,157 @@ def nearest(table: DataFrame, queries: Column, k: int = 5, recall: float = RECAL
 
 def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall: float, width: str, most: int, leaf_rows: int) -> DataFrame:
     spark = rows.sparkSession
+    parts = partitions_for(spark)
     sample = sampled(rows, n, most, dim, width)
     if not len(sample):
         sample = np.eye(1, dim)
-    tree = Tree(sample, min(MOST_LEAVES, math.ceil(n / leaf_rows)))
+    tree = Tree(sample, math.ceil(n / leaf_rows))
     visits = calibrate(tree, sample, k, recall)
-    shared = spark.sparkContext.broadcast(tree)  # at most some 2 * MOST_LEAVES centres
+    shared = spark.sparkContext.broadcast((tree, visits))  # of a sample of `most` rows
+    filed_schema, asked_schema = "vec_id long, vec binary, leaf long", "vec_id long, vec binary, leaf long"
 
-    def file(batches):
-        for b in batches:
-            if b.num_rows:
-                leaf = shared.value.file(unit(matrix(b.column("vec").to_pylist(), width)))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(leaf)], ["vec_id", "vec", "leaf"])
+    def matrix_of(b):
+        return unit(matrix(b.column("vec").to_pylist(), width))
 
-    def ask(batches):
-        for b in batches:
-            if b.num_rows:
-                q = unit(matrix(b.column("vec").to_pylist(), width))
-                leaves = [shared.value.visits(x, visits) for x in q]
-                at = np.repeat(np.arange(len(q)), [len(x) for x in leaves])
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(at)), b.column("vec").take(pa.array(at)), pa.array([x for own in leaves for x in own], pa.int64())], ["vec_id", "vec", "leaf"])
+    def filed_in(tree, b, above=0):
+        return b.set_column(b.schema.get_field_index("leaf"), "leaf", pa.array(tree.file(matrix_of(b)) + above, pa.int64()))
+
+    def asked_of(tree, visits, b, above=0):
+        leaves = [tree.visits(x, visits) for x in matrix_of(b)]
+        at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in leaves]))
+        return pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("vec").take(at), pa.array([x + above for own in leaves for x in own], pa.int64())], ["vec_id", "vec", "leaf"])
 
-    def blocks(size):
-        """Rows of one leaf, dealt to the same partition, in blocks of at most `size`."""
+    def filed_in_own(own, b, above):
+        return filed_in(own[0], b, above)
+
+    def asked_of_own(own, b, above):
+        return asked_of(*own, b, above)
+
+    def by_top(f):
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield f(shared.value, b)
+
+        return run
+
+    begun = rows.select("vec_id", "vec", F.lit(0).cast("long").alias("leaf"))
+    held = saved(begun.mapInArrow(by_top(lambda top, b: filed_in(top[0], b)), filed_schema))
+    asked = saved(begun.where(queries).mapInArrow(by_top(lambda top, b: asked_of(*top, b)), asked_schema))
+
+    def made(batches):
+        """Rows of sampled vectors, a leaf's together: a tree of each leaf, with how many leaves to visit."""
+        now, vecs, total = None, [], 0
+        for b in batches:
+            for leaf, vec, count in zip(*(b.column(c).to_pylist() for c in ("leaf", "vec", "count")), strict=True):
+                if leaf != now:
+                    if vecs:
+                        yield one(now, vecs, total)
+                    now, vecs, total = leaf, [], count
+                vecs.append(vec)
+        if vecs:
+            yield one(now, vecs, total)
+
+    def one(leaf, vecs, count):
+        own = unit(matrix(vecs, width))
+        tree = Tree(own, math.ceil(count / leaf_rows))
+        return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([pickle.dumps((tree, calibrate(tree, own, k, recall)))], pa.binary())], ["leaf", "tree"])
+
+    def descended(df, trees, salts, f, schema):
+        """Rows whose leaf has a tree go down in it; each part of a leaf's rows follows a copy of the leaf's tree."""
+        laid = lambda d, kind, vec_id, vec, tree: d.select("leaf", "salt", F.lit(kind).alias("kind"), vec_id.alias("vec_id"), vec.alias("vec"), tree.alias("tree"))
+        none, ids = F.lit(None).cast("binary"), F.lit(None).cast("long")
+        own = df.join(salts, "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
+        copies = trees.join(salts, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        both = laid(copies, 0, ids, none, F.col("tree")).union(laid(own, 1, F.col("vec_id"), F.col("vec"), none))
+        both = both.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "salt", "kind")
+
+        def run(batches):
+            tree = None
+            for b in batches:
+                kinds, leaves = b.column("kind").to_numpy(), b.column("leaf").to_numpy()
+                cuts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]) | (leaves[1:] != leaves[:-1]) | (kinds[1:] == 0)) + 1).tolist(), b.num_rows]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    if j == i:
+                        continue
+                    if kinds[i] == 0:
+                        tree = pickle.loads(b.column("tree")[i].as_py())
+                    else:
+                        yield f(tree, b.slice(i, j - i).select(["vec_id", "vec", "leaf"]), (int(leaves[i]) + 1) * SPAN)
+
+        rest = df.join(salts.select("leaf"), "leaf", "left_anti").select(F.col("vec_id"), "vec", (F.col("leaf") + 1) * SPAN)
+        return saved(both.mapInArrow(run, schema).union(rest))
+
+    for _ in range(3):  # each turn divides a leaf by a thousand or more
+        counts = held.groupBy("leaf").count().where(F.col("count") > SPLIT * leaf_rows)
+        big = saved(counts.select("leaf", "count", F.ceil(F.col("count") / (16 * BLOCK)).alias("salts")))
+        if not big.head(1):
+            break
+        share = F.least(F.lit(1.0), F.lit(float(most)) / F.col("count"))
+        picked = held.join(big, "leaf").where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1_000_000)) < share * 1_000_000)
+        picked = picked.select("leaf", "vec", "count").repartition(parts, "leaf").sortWithinPartitions("leaf", "vec")
+        trees = saved(picked.mapInArrow(made, "leaf long, tree binary"))
+        salts = big.join(trees.select("leaf"), "leaf").select("leaf", "salts")
+        held = descended(held, trees, salts, filed_in_own, filed_schema)
+        asked = descended(asked, trees, salts, asked_of_own, asked_schema)
+
+    def blocks(size, extra):
+        """Rows of one group, dealt to the same partition, in blocks of at most `size`."""
 
         def pack(batches):
-            leaf, ids, vecs = None, [], []
+            group, held = None, None
             for b in batches:
-                for i, v, x in zip(*(b.column(c).to_pylist() for c in ("vec_id", "vec", "leaf")), strict=True):
-                    if ids and (x != leaf or len(ids) >= size):
-                        yield block(leaf, ids, vecs)
-                        ids, vecs = [], []
-                    leaf = x
-                    ids.append(i)
-                    vecs.append(v)
-            if ids:
-                yield block(leaf, ids, vecs)
+                t, groups = pa.Table.from_batches([b]), b.column("group").to_numpy()
+                cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), b.num_rows]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    if j == i:
+                        continue
+                    if held is not None and groups[i] != group:
+                        yield from whole(group, held)
+                        held = None
+                    group = groups[i]
+                    held = t.slice(i, j - i) if held is None else pa.concat_tables([held, t.slice(i, j - i)])
+                    while held.num_rows >= size:
+                        yield from whole(group, held.slice(0, size))
+                        held = held.slice(size).combine_chunks() if held.num_rows > size else None
+                        if held is None:
+                            break
+            if held is not None:
+                yield from whole(group, held)
+
+        def whole(group, t):
+            columns = {"group": [int(group)], "ids": [np.array(t.column("vec_id").to_pylist(), "<i8").tobytes()], "vecs": [b"".join(t.column("vec").to_pylist())], **extra(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(columns["group"], pa.int64()), *(pa.array(v, pa.binary()) for c, v in columns.items() if c != "group")], list(columns))
 
         return pack
 
-    def block(leaf, ids, vecs):
-        return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([b"".join(vecs)], pa.binary())], ["leaf", "ids", "vecs"])
+    def leaf_of_each(t):
+        return {"leaf": [np.array(t.column("leaf").to_pylist(), "<i8").tobytes()]}
 
-    schema = "vec_id long, vec binary, leaf long"
-    parts = partitions_for(spark)
+    def leaves_of_each(t):
+        lists = t.column("leaves").to_pylist()
+        at, leaf = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.array([x for own in lists for x in own], "<i8")
+        order = np.argsort(leaf, kind="stable")
+        return {"leaf": [leaf[order].tobytes()], "at": [at[order].astype("<i8").tobytes()]}
 
-    def in_blocks(filed: DataFrame, size: int) -> DataFrame:
-        """Each leaf's rows in blocks. A leaf of many rows is spread over as many salts as it fills blocks."""
-        filed = saved(filed)
-        counts = filed.groupBy("leaf").agg(F.ceil(F.count("*") / size).alias("salts"))  # at most MOST_LEAVES rows and a few
-        salted = filed.join(F.broadcast(counts), "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
-        dealt = salted.repartition(parts, "leaf", "salt").sortWithinPartitions("leaf", "vec_id").select("vec_id", "vec", "leaf")
-        return saved(dealt.mapInArrow(blocks(size), "leaf long, ids binary, vecs binary"))
+    def in_blocks(df, size, extra, schema):
+        """Each group's rows in blocks. A group of many rows is spread over as many salts as it fills blocks."""
+        counts = df.groupBy("group").agg(F.ceil(F.count("*") / size).alias("salts"))
+        salted = df.join(counts, "group").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
+        dealt = salted.repartition(parts, "group", "salt").sortWithinPartitions("group", "salt", *(["leaf"] if "leaf" in df.columns else []), "vec_id").drop("salts", "salt")
+        return saved(dealt.mapInArrow(blocks(size, extra), schema))
 
-    held = in_blocks(rows.select("vec_id", "vec").mapInArrow(file, schema), BLOCK)
-    asked = in_blocks(rows.where(queries).select("vec_id", "vec").mapInArrow(ask, schema), QUERIES)
-    pairs = held.join(asked.select("leaf", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")), "leaf").repartition(parts)
+    group = F.expr(f"leaf div {GROUP}").alias("group")
+    rows_in = in_blocks(held.select("vec_id", "vec", "leaf", group), BLOCK, leaf_of_each, "group long, ids binary, vecs binary, leaf binary")
+    asked = asked.groupBy("vec_id", "vec", group).agg(F.collect_list("leaf").alias("leaves"))  # GROUP leaves at most
+    asked_in = in_blocks(asked, QUERIES, leaves_of_each, "group long, ids binary, vecs binary, leaf binary, at binary")
+    pairs = rows_in.join(asked_in.select("group", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vecs", "leaf", "at")]), "group").repartition(parts)
 
     def search(batches):
-        best: dict[int, list[tuple[float, int]]] = {}
         for b in batches:
             for row in b.to_pylist():
-                ids, q_ids = (np.frombuffer(row[c], "<i8") for c in ("ids", "q_ids"))
+                ids, leaf, q_ids, q_leaf, q_at = (np.frombuffer(row[c], "<i8") for c in ("ids", "leaf", "q_ids", "q_leaf", "q_at"))
                 v, q = (unit(np.frombuffer(row[c], width).reshape(-1, dim).astype(np.float64)) for c in ("vecs", "q_vecs"))
-                scores = q @ v.T
-                for i, own in enumerate(q_ids.tolist()):
-                    found = best.get(own, []) + top(own, q[i], scores[i], v, ids, k)
-                    best[own] = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
-                if len(best) > 200_000:
-                    yield answers(best)
-                    best = {}
-        if best:
-            yield answers(best)
-
-    def answers(best):
-        flat = [(q, i, s) for q, own in best.items() for s, i in own]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat, strict=True) if flat else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in nearest_in(q, q_ids, q_at, q_leaf, v, ids, leaf, k)], ["query_id", "vec_id", "score"])
 
     return pairs.mapInArrow(search, "query_id long, vec_id long, score double")

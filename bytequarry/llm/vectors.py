@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,17 +25,19 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            ids, dims, vecs = [], [], []
             lists = batch.column("vec")
-            for i, x in zip(batch.column("vec_id").to_pylist(), lists, strict=True):
-                if i is None or not x.is_valid or x.values.null_count or not len(x.values):
-                    continue
-                v = x.values.to_numpy(zero_copy_only=False).astype(width)
-                if np.isfinite(v).all() and v.any():
-                    ids.append(i)
-                    dims.append(len(v))
-                    vecs.append(v.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], ["vec_id", "dim", "vec"])
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(width)  # null components become NaN
+            ends = np.cumsum(n)
+            some = np.flatnonzero(n)
+            good, starts = np.zeros(len(n), bool), (ends - n)[some]
+            if len(some):
+                good[some] = np.logical_and.reduceat(np.isfinite(flat), starts) & np.logical_or.reduceat(flat != 0, starts)
+            good &= batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
+            offsets = pa.py_buffer(np.concatenate([[0], ends * flat.itemsize]).astype("<i4"))
+            vecs = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, offsets, pa.py_buffer(flat.tobytes())])
+            made = pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(n, pa.int32()), vecs], ["vec_id", "dim", "vec"])
+            yield made.filter(pa.array(good))
 
     return df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vec")).mapInArrow(pack, "vec_id long, dim int, vec binary")
 

@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 import numpy as np
 import pytest
@@ -34,10 +36,11 @@ def table(spark):
     return df.withColumn("n", F.lit("clash")).withColumn("vec", F.lit(1)).repartition(3)
 
 
-@pytest.mark.parametrize("sizes", [(2048, 256), (64, 16)])
+@pytest.mark.parametrize("sizes", [(2048, 256, 32), (64, 16, 32), (32, 16, 2)])
 def test_near_vectors(table, monkeypatch, sizes):
     monkeypatch.setattr(ego_join, "BLOCK", sizes[0])
     monkeypatch.setattr(ego_join, "LEAF", sizes[1])
+    monkeypatch.setattr(ego_join, "STRETCH", sizes[2])
     rows = [(r.vec_id, r.embedding) for r in table.collect()]
     part = [r for r in rows if r[0] is not None and usable(r[1])]
     link = lambda i, j: len(part[i][1]) == len(part[j][1]) and cosine(part[i][1], part[j][1]) >= 0.9
@@ -62,9 +65,9 @@ def exact(rows, query, k):
 
 
 def test_nearest_small(table):
-    """Few rows have one leaf, so the search is exhaustive."""
+    """A recall of 1 on so few rows that all are in the sample: every answer is exact."""
     rows = {r.vec_id: r.embedding for r in table.collect() if r.vec_id is not None and usable(r.embedding)}
-    got = kmeans_tree.nearest(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()
+    got = kmeans_tree.nearest(table, F.col("vec_id") % 50 == 0, recall=2.0).orderBy("query_id", "rank").collect()
     for q in [i for i in rows if i % 50 == 0]:
         mine = [(r.vec_id, r.score) for r in got if r.query_id == q]
         want = exact(rows, q, 5)
@@ -73,8 +76,10 @@ def test_nearest_small(table):
     assert kmeans_tree.nearest(table.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sample", [20_000, 300])
 @pytest.mark.parametrize("source", ["clusters", "table"])
-def test_recall(spark, source):
+def test_recall(spark, source, sample):
+    """With a sample of 300 the first tree's leaves are split by trees of their own."""
     if source == "table":
         df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     else:
@@ -85,7 +90,7 @@ def test_recall(spark, source):
     rows = df.orderBy("vec_id").collect()
     m = np.array([r.embedding for r in rows], float)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
-    got = kmeans_tree.nearest(df, F.col("vec_id") % 50 == 0, leaf_rows=100).collect()
+    got = kmeans_tree.nearest(df, F.col("vec_id") % 50 == 0, sample=sample, leaf_rows=32 if sample > 300 else 8).collect()
     hit = n = 0
     for q in range(0, len(m), 50):
         s = m @ m[q]
@@ -97,6 +102,14 @@ def test_recall(spark, source):
     assert hit / n >= 0.9
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+def test_tree_at_the_smallest_sizes(n):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, 64))
+    tree = kmeans_tree.Tree(x / np.linalg.norm(x, axis=1, keepdims=True), math.ceil(n / kmeans_tree.LEAF_ROWS))
+    assert tree.n_leaves > 10
+
+
 def test_tree_visits_all_leaves():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 6))
