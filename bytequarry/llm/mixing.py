@@ -13,18 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import quoted, saved
 
 #: Rows up to which the table of stretches is broadcast (some 100 bytes each); beyond it Spark joins it by its own choice.
 BROADCAST_ROWS = 500_000
-#: A leaf's order in an epoch is cut into 2**STRETCH_BITS stretches of hashes.
+#: A leaf's order in an epoch is cut into 2**STRETCH_BITS stretches of hashes, and the one in which its budget ends into as many again.
 STRETCH_BITS = 10
+#: Scripts without spaces between words.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 
 
 def word_tokens(text: Column) -> Column:
-    """Words of a text as its spaces tell, a cheap measure that grows as tokens do; null and empty texts have none."""
-    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(spaces + 1).cast("long")
+    """Words of a text between white space, and letters of scripts that have none, one by one: a cheap measure that grows
+    as tokens do; null and empty texts have none."""
+    return F.coalesce(F.regexp_count(text, F.lit(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")), F.lit(0)).cast("long")
 
 
 def share(budget: float, children: list[tuple[float, float]]) -> list[float]:
@@ -69,27 +71,29 @@ def allocate(budget: float, leaves: dict[tuple, float], weights: dict[tuple, flo
 
 
 def mix(docs: DataFrame, tree: Sequence[Column], weights: dict[tuple, float], budget: float | None = None, fraction: float = 1.0, max_epochs: int = 1, seed: int = 0, tokens: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents chosen, once for each epoch that takes them: their columns, and mix_leaf (array of strings),
-    mix_epoch (int, from 0), mix_tokens (long) and mix_taken (how many of its tokens the budget reaches; only a leaf's
-    last document is taken in part). Columns of docs whose names begin with mix_ are left out.
+    """(row, mix_leaf, mix_epoch, mix_tokens, mix_taken): the documents chosen, once for each epoch that takes them. row
+    holds all their columns; mix_leaf is an array of strings, mix_epoch counts from 0, mix_taken says how many of its
+    tokens the budget reaches; only a leaf's last document is taken in part.
 
     tree: columns of the levels, from the root's children to the leaves; a null is a branch of its own.
     weights: weight of a node, by its path, among its siblings; 1 where none is given. budget: tokens in all; else
-    fraction of the documents' tokens. tokens: how many a row has (words, if not given; null counts as 0).
-    Order within a leaf and epoch: by hash of seed, epoch and doc_id, then doc_id and text. A document is taken if the
-    tokens before it are fewer than the budget; documents of leaves without any tokens are all taken, once. An empty
-    table gives an empty result.
+    fraction of the documents' tokens. tokens: how many a row has (word_tokens, if not given; null counts as 0).
+    Order within a leaf and epoch: by hash of seed, epoch and doc_id (for a null one, of the text), then doc_id and text.
+    A document is taken if the tokens before it are fewer than the budget; documents of leaves without any tokens are
+    all taken, once. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if not c.lower().startswith("mix_")]
-    n = F.coalesce((tokens if tokens is not None else word_tokens(F.col(text))).cast("long"), F.lit(0))
-    rows = docs.select(*own, F.array(*[c.cast("string") for c in tree]).alias("mix_leaf"), n.alias("mix_tokens"))
-    rows = rows.withColumn("mix_key", F.to_json("mix_leaf"))  # equal paths, nulls too, have equal keys
-    rows = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
-    rows = rows.withColumn("mix_hash", F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col(doc_id).cast("string")))
+    own_id, own_text = F.col(quoted(doc_id)), F.col(quoted(text)).cast("string")
+    n = F.coalesce((tokens if tokens is not None else word_tokens(own_text)).cast("long"), F.lit(0))
+    epoch = F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))).alias("mix_epoch")
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.array(*[c.cast("string") for c in tree]).alias("mix_leaf"), n.alias("mix_tokens"), own_id.alias("mix_id"), own_text.alias("mix_text"))
+    rows = rows.select("*", F.to_json("mix_leaf").alias("mix_key"), epoch)  # equal paths, nulls too, have equal keys
+    named = F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col("mix_id").cast("string"))
+    rows = rows.withColumn("mix_hash", F.when(F.col("mix_id").isNotNull(), named).otherwise(F.xxhash64(F.lit(seed), F.col("mix_epoch"), F.col("mix_text"))))
     rows = rows.withColumn("mix_stretch", F.shiftrightunsigned("mix_hash", 64 - STRETCH_BITS).cast("int"))
-    # Sums over stretches of the order come first: no leaf's documents ever stand in one task, and only the stretch in
-    # which a leaf's budget ends is put in order.
+    rows = rows.withColumn("mix_part", F.shiftrightunsigned("mix_hash", 64 - 2 * STRETCH_BITS).bitwiseAND((1 << STRETCH_BITS) - 1).cast("int"))
+    # Sums over stretches of the order come first, then sums over parts of the one stretch in which a leaf's budget ends:
+    # no leaf's documents ever stand in one task, and only a part of a part of a leaf is put in order.
     place = ["mix_key", "mix_epoch", "mix_stretch"]
     sums = saved(rows.groupBy(*place).agg(F.first("mix_leaf").alias("leaf"), F.sum("mix_tokens").alias("mix_sum")))
     leaves = sums.where("mix_epoch = 0").groupBy("mix_key").agg(F.first("leaf").alias("leaf"), F.sum("mix_sum").alias("supply")).collect()  # a row a leaf
@@ -97,16 +101,25 @@ def mix(docs: DataFrame, tree: Sequence[Column], weights: dict[tuple, float], bu
     total = fraction * sum(supply.values()) if budget is None else budget
     given = allocate(total, {k: max_epochs * v for k, v in supply.items()}, {tuple(map(str, k)): w for k, w in weights.items()})
     plan = spark.createDataFrame([(r["mix_key"], r["supply"], int(given[tuple(r["leaf"])] + 0.5)) for r in leaves], "mix_key string, mix_supply long, mix_budget long")
-    ahead = F.sum("mix_sum").over(Window.partitionBy("mix_key").orderBy("mix_epoch", "mix_stretch").rowsBetween(Window.unboundedPreceding, -1))
-    stretches = sums.select(*place, "mix_sum", F.coalesce(ahead, F.lit(0)).alias("mix_start")).join(plan, "mix_key")
-    free = (F.col("mix_supply") == 0) & (F.col("mix_epoch") == 0)
-    stretches = saved(stretches.where((F.col("mix_start") < F.col("mix_budget")) | free).withColumn("mix_inside", (F.col("mix_start") + F.col("mix_sum") <= F.col("mix_budget")) | free))
-    if len(leaves) * max_epochs << STRETCH_BITS <= BROADCAST_ROWS:
-        stretches = F.broadcast(stretches)
-    whole = rows.join(stretches.where("mix_inside").select(*place), place)
-    whole = whole.select(*own, "mix_leaf", "mix_epoch", "mix_tokens", F.col("mix_tokens").alias("mix_taken"))
-    last = rows.join(stretches.where("not mix_inside").select(*place, "mix_start", "mix_budget"), place)
-    before = F.sum("mix_tokens").over(Window.partitionBy(*place).orderBy("mix_hash", doc_id, text).rowsBetween(Window.unboundedPreceding, -1))
+    small = len(leaves) * max_epochs << STRETCH_BITS <= BROADCAST_ROWS
+    sent = F.broadcast if small else (lambda df: df)
+
+    def placed(df, order, start):
+        """The sums' places in a leaf's order: tokens before each, and whether all of it is inside the budget."""
+        ahead = F.sum("mix_sum").over(Window.partitionBy("mix_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+        df = df.withColumn("mix_start", start + F.coalesce(ahead, F.lit(0)))
+        free = (F.col("mix_supply") == 0) & (F.col("mix_epoch") == 0)
+        return df.where((F.col("mix_start") < F.col("mix_budget")) | free).withColumn("mix_inside", (F.col("mix_start") + F.col("mix_sum") <= F.col("mix_budget")) | free)
+
+    stretches = saved(placed(sums.drop("leaf").join(plan, "mix_key"), ["mix_epoch", "mix_stretch"], F.lit(0)))
+    edges = stretches.where("not mix_inside").select(*place, F.col("mix_start").alias("mix_from"), "mix_supply", "mix_budget")  # one a leaf at most
+    cut = rows.join(sent(edges), place).groupBy(*place, "mix_part").agg(F.sum("mix_tokens").alias("mix_sum"), *[F.first(c).alias(c) for c in ("mix_from", "mix_supply", "mix_budget")])
+    parts = saved(placed(cut, ["mix_part"], F.col("mix_from")))
+    whole = rows.join(sent(stretches.select(*place, "mix_inside")), place)
+    whole = whole.join(sent(parts.where("mix_inside").select(*place, "mix_part", F.lit(True).alias("mix_in_part"))), [*place, "mix_part"], "left")
+    out = ["row", "mix_leaf", "mix_epoch", "mix_tokens"]
+    whole = whole.where(F.col("mix_inside") | F.col("mix_in_part")).select(*out, F.col("mix_tokens").alias("mix_taken"))
+    last = rows.join(sent(parts.where("not mix_inside").select(*place, "mix_part", "mix_start", "mix_budget")), [*place, "mix_part"])
+    before = F.sum("mix_tokens").over(Window.partitionBy(*place).orderBy("mix_hash", "mix_id", "mix_text").rowsBetween(Window.unboundedPreceding, -1))
     last = last.withColumn("mix_before", F.col("mix_start") + F.coalesce(before, F.lit(0))).where("mix_before < mix_budget")
-    last = last.select(*own, "mix_leaf", "mix_epoch", "mix_tokens", F.least(F.col("mix_tokens"), F.col("mix_budget") - F.col("mix_before")).alias("mix_taken"))
-    return whole.union(last)
+    return whole.union(last.select(*out, F.least(F.col("mix_tokens"), F.col("mix_budget") - F.col("mix_before")).alias("mix_taken")))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import kept, spread, use_workers
+from .common import kept, quoted, spread, use_workers
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -311,7 +311,7 @@ def marked(docs: DataFrame, text: str = "text", least: float = 0.9) -> DataFrame
     spark = docs.sparkSession
     use_workers(spark)
     weights = spark.sparkContext.broadcast(trained().weights)
-    rows = spread(docs.select(F.struct(*docs.columns).alias("row")))
+    rows = spread(docs.select(F.struct(*map(quoted, docs.columns)).alias("row")))
     counts, texts = [f"n_{k}" for k in KINDS], ["base_sha256", "spans", "redacted"]
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in counts), *(T.StructField(c, T.StringType()) for c in texts)])
 
@@ -335,5 +335,5 @@ def marked(docs: DataFrame, text: str = "text", least: float = 0.9) -> DataFrame
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = 0.9) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row, as marked() has it."""
-    made = marked(docs.select(doc_id, text), text, least)
+    made = marked(docs.select(quoted(doc_id), quoted(text)), text, least)
     return made.select(F.col("row")[doc_id].cast("long").alias("doc_id"), *made.columns[1:])

@@ -39,7 +39,7 @@ def mix_tree() -> list:
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir), mix_tree(), MIX_WEIGHTS, fraction=0.7, max_epochs=2, seed=1)
     leaf = F.concat_ws("/", F.transform("mix_leaf", lambda x: F.coalesce(x, F.lit("-"))))
-    return mixed.select("doc_id", leaf.alias("leaf"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_taken").alias("taken"))
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), leaf.alias("leaf"), F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_taken").alias("taken"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
