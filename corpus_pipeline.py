@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import shared_dir
+from bytequarry.llm.common import quoted, shared_dir
 from bytequarry.llm.golay_simhash import near_duplicates as similar
 from bytequarry.llm.language_id import identified
 from bytequarry.llm.mixing import mix
@@ -22,8 +22,8 @@ from bytequarry.llm.sentencepieces import segmented
 
 #: A language below this share of the probability is not taken for certain: less than any best of four can be by evidence.
 LEAST_SCORE = 0.3
-#: Words of a shingle in the near-duplicate stage: two documents link by either. Three differing bits of 64 mean a cosine
-#: of some 0.99 between shingle counts, a Jaccard similarity of some 0.98.
+#: Words of a shingle in the near-duplicate stage's fingerprints: two documents link by either, and by a Jaccard
+#: similarity of 0.8 or more between their sets of five-word shingles.
 SHINGLE_WORDS = (3, 5)
 #: Tokens that the mix may spend, as a share of all that it gets; no document is taken twice.
 MIX_FRACTION = 0.9
@@ -34,13 +34,13 @@ WORDS = 50_000
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told go on; texts that are null or have no letter, and undecided ones, go."""
     known = identified(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return known.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return known.select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest doc_id stays; rows without doc_id stay as they are."""
     extra = similar(docs, SHINGLE_WORDS)
-    return docs.join(extra.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(extra.select("doc_id"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that fill the sources' budgets, each once."""
-    return mix(docs, mix_tree(), MIX_WEIGHTS, fraction=MIX_FRACTION, max_epochs=1, seed=1).select(*docs.columns)
+    return mix(docs, mix_tree(), MIX_WEIGHTS, fraction=MIX_FRACTION, max_epochs=1, seed=1).select("row.*")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
