@@ -1,7 +1,8 @@
 """Operator 7: personal data. Patterns with checks give the base spans; a semi-Markov conditional random field adds
-spans that the patterns miss (numbers without a country code, spelt-out addresses, addresses of version 6).
+spans that the patterns miss (numbers without a country code, spelt-out addresses, addresses of version 6) and secrets
+(keys and access tokens that are given a name).
 
-The field looks at windows around digits, colons and spelt-out dots. A segment is a run of tokens, bounded in tokens
+The field looks at windows around digits, colons, spelt-out dots and long values behind a sign of assignment. A segment is a run of tokens, bounded in tokens
 and characters; its score is the sum of weights of features of the whole span (its shape, the lengths of its digit
 groups, its check digit, the words beside it). Dynamic programming over boundaries and kinds gives the best joint
 choice and each segment's probability. Weights come from examples made by rule, by the gradient of the conditional
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from .common import kept, quoted, spread, use_workers
 
 KINDS = ("email", "ip", "card", "phone")
-ORDER = {k: i for i, k in enumerate(KINDS)}
+#: What the field tells apart.
+FIELD_KINDS = (*KINDS, "secret")
+ORDER = {k: i for i, k in enumerate(FIELD_KINDS)}
 
 # Base patterns. The address before the sign is looked up from the sign; a number starts where its digits start.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -76,9 +79,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 # The field. Windows, tokens and candidate segments.
-TRIGGER = re.compile(r"[0-9][0-9 ().:_/-]{6,}[0-9]|\b[Dd][Oo][Tt]\b|[(\[{<] ?[Aa][Tt] ?[)\]}>]|[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]+")
-TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.DOTALL)
-MARGIN, MAX_TOKENS, MAX_CHARS = 30, 24, 64
+TRIGGER = re.compile(r"[0-9][0-9 ().:_/-]{6,}[0-9]|\b[Dd][Oo][Tt]\b|[(\[{<] ?[Aa][Tt] ?[)\]}>]|[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]+|[=:][ \"']{0,3}[A-Za-z0-9+/_-]{16,}")
+TOKEN = re.compile(r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}=*|[0-9]+|[A-Za-z]+|\s+|.", re.DOTALL)
+MARGIN, MAX_TOKENS, MAX_CHARS = 30, 24, 128
+KEY = re.compile(r"[A-Za-z0-9+/_-]{16,}=*")
+NAMED = re.compile(r"([A-Za-z]+)[\"']? ?(?:=|:|=>|:=) ?[\"'`]?$")
 AT = re.compile(r" ?[(\[{<] ?at ?[)\]}>] ?| at ", re.IGNORECASE)
 DOT = re.compile(r" ?[(\[{<] ?dot ?[)\]}>] ?| dot |\.", re.IGNORECASE)
 SPELT = re.compile(r"[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+")
@@ -102,6 +107,10 @@ def span_features(span: str) -> tuple[str, ...]:
     """Features of a whole span; empty if no kind could have it."""
     low = span.lower()
     digits = NOT_DIGIT.sub("", span)
+    if KEY.fullmatch(span) and digits and len(digits) < len(span):
+        bare = re.sub("[0-9+/=_-]", "", span)
+        turns = sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False))
+        return ("key", f"length={min(len(span) // 8, 8)}", f"hex={not set(low) - set('0123456789abcdef')}", f"case={bare.islower()}{bare.isupper()}", f"marks={sum(c in '+/_-' for c in span) > 2}", f"turns={min(turns * 8 // len(span), 5)}", f"distinct={min(len(set(low)) // 3, 6)}")
     plain = DOT.sub(".", AT.sub("@", low, count=1))
     spelt = "@" in plain and "@" not in span and SPELT.fullmatch(plain)
     hexed = HEX.fullmatch(low) and low.count(":") >= 2
@@ -133,6 +142,11 @@ def candidates(text: str) -> tuple[int, list[tuple[int, int, int, int, tuple[str
             if text[end - 1].isalnum() and end - start >= 7 and (own := span_features(text[start:end])):
                 left = re.search(r"([A-Za-z]+)[:.]? ?$", text[max(0, start - 12) : start])
                 beside = (f"left={left.group(1).lower() if left else text[start - 1 : start]}", f"after={'a' if text[end : end + 1].isalnum() else text[end : end + 1]}", f"before={'a' if start and text[start - 1].isalnum() else text[start - 1 : start] if start else ''}")
+                if own[0] == "key":
+                    name = NAMED.search(text[max(0, start - 24) : start])
+                    name = name.group(1).lower() if name else ""
+                    out.append((i, j + 1, start, end, (*own, f"name={name}", f"named={name != ''}", *(f"name={name},{x}" for x in own[1:4]), *beside, "any")))
+                    continue
                 longer = f"cut={bool(re.match(r'[ .()_/-]?[0-9(:]', text[end : end + 2])) or bool(re.search(r'[0-9)][ .(_/:-]?$', text[max(0, start - 2) : start]))}"
                 out.append((i, j + 1, start, end, (*own, *beside, longer, "any")))
     return len(tokens), out
@@ -146,7 +160,7 @@ class Field:
 
     def scores(self, segments) -> list[list[float]]:
         w = self.weights
-        return [[sum(w.get((k, f), 0.0) for f in s[4]) for k in KINDS] for s in segments]
+        return [[sum(w.get((k, f), 0.0) for f in s[4]) for k in FIELD_KINDS] for s in segments]
 
     def marginals(self, n: int, segments, scores) -> list[list[float]]:
         """Probability of each segment and kind, by sums over all segmentations of n tokens."""
@@ -166,7 +180,7 @@ class Field:
         """(segment, kind) of the best segmentation."""
         into = defaultdict(list)
         for s, (i, j, *_) in enumerate(segments):
-            k = max(range(len(KINDS)), key=scores[s].__getitem__)
+            k = max(range(len(FIELD_KINDS)), key=scores[s].__getitem__)
             into[j].append((scores[s][k], i, s, k))
         value, took = [0.0] * (n + 1), [None] * (n + 1)
         for j in range(1, n + 1):
@@ -193,7 +207,7 @@ class Field:
                 chosen = self.best(n, segments, scores)
                 if chosen:
                     p = self.marginals(n, segments, scores)
-                    found += [(a + segments[s][2], a + segments[s][3], KINDS[k]) for s, k in chosen if p[s][k] >= least]
+                    found += [(a + segments[s][2], a + segments[s][3], FIELD_KINDS[k]) for s, k in chosen if p[s][k] >= least]
         return found
 
 
@@ -226,7 +240,27 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         h = lambda: "".join(r.choices("0123456789abcdef", k=r.randint(1, 4)))
         return r.choice([":".join("".join(r.choices("0123456789abcdef", k=4)) for _ in range(8)), f"2001:db8::{h()}", f"fe80::{h()}:{h()}:{h()}", f"2a02:{h()}:{h()}::{h()}"])
 
+    hexed = lambda k: "".join(r.choices("0123456789abcdef", k=k))
+    mixed = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", k=k))
+
+    def secret():
+        return r.choice([hexed(r.choice([32, 40, 48, 64])), mixed(r.randint(20, 60)), r.choice(["ab", "sk", "key", "tok"]) + "_" + mixed(r.randint(24, 40)), hexed(40).upper()])
+
+    def assigned(name):
+        q = r.choice(['"', '"', "'", ""])
+        return r.choice([name, name.upper(), name.capitalize()]) + r.choice([" = ", "=", ": "]) + q, q
+
+    def public():
+        """Long values that are no secrets: checksums, revisions, ids, names."""
+        h = hexed(32)
+        value = r.choice([hexed(40), hexed(64), h, f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", f"{word()}_{word()}_{word()}_{digits(2)}", f"{word()}-{word()}-{word()}-{digits(4)}", f"{word()}/{word()}/{word()}{digits(2)}"])
+        name = r.choice(["commit", "sha", "hash", "checksum", "revision", "id", "uuid", "file", "version", "etag", "md", "class", "name", "path"])
+        lead, q = assigned(name)
+        return r.choice([lead + value + q, f"{name} {value}", value])
+
     def none():
+        if r.random() < 0.25:
+            return public()
         y, m, d = r.randint(1900, 2099), r.randint(1, 12), r.randint(1, 28)
         bad = digits(15)
         bad += next(c for c in "0123456789" if not luhn(bad + c))
@@ -237,25 +271,30 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         ])
 
     hints = {"phone": ["tel", "phone", "call", "fax"], "card": ["card", "visa"], "email": ["mail", "contact", "write"], "ip": ["host", "from", "address"], "": ["on", "id", "no", "number", "order"]}
-    made = {"phone": phone, "card": card, "email": email, "ip": ip, "": none}
+    made = {"phone": phone, "card": card, "email": email, "ip": ip, "secret": secret, "": none}
+    names = ["token", "key", "secret", "password", "apikey", "auth", "passwd", "credential"]
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(r.randint(1, 2)):
-            kind = r.choice(["", "", *KINDS])
+            kind = r.choice(["", "", "", *FIELD_KINDS])
             text += " ".join(word() for _ in range(r.randint(2, 5))) + r.choice([" ", ". ", ", ", "\n"])
-            if r.random() < 0.4:
+            close = ""
+            if kind == "secret":
+                lead, close = assigned(r.choice(names))
+                text += r.choice(["", "api_", "access_"]) + lead
+            elif r.random() < 0.4:
                 text += r.choice(hints[kind]) + r.choice([" ", ": "])
             value = made[kind]()
             if kind:
                 spans.append((len(text), len(text) + len(value), kind))
-            text += value + r.choice([" ", ". ", ", ", "\n"])
+            text += value + close + r.choice([" ", ". ", ", ", "\n"])
         out.append((text + word(), spans))
     return out
 
 
 @lru_cache(2)
-def trained(n: int = 900, seed: int = 7, rounds: int = 6, rate: float = 0.5, shrink: float = 0.002) -> Field:
+def trained(n: int = 1400, seed: int = 7, rounds: int = 8, rate: float = 0.7, shrink: float = 0.002) -> Field:
     """Weights that raise the conditional likelihood of the examples' spans (gradient steps, shrunk towards zero)."""
     field, made = Field(defaultdict(float)), []
     for text, spans in examples(n, seed):
@@ -263,14 +302,14 @@ def trained(n: int = 900, seed: int = 7, rounds: int = 6, rate: float = 0.5, shr
             tokens, segments = candidates(text[a:b])
             gold = {(x - a, y - a, k) for x, y, k in spans}
             if segments:
-                made.append((tokens, segments, [[float((s[2], s[3], k) in gold) for k in KINDS] for s in segments]))
+                made.append((tokens, segments, [[float((s[2], s[3], k) in gold) for k in FIELD_KINDS] for s in segments]))
     for turn in range(rounds):
         random.Random(seed + turn).shuffle(made)
         step = rate / (1 + turn)
         for tokens, segments, gold in made:
             p = field.marginals(tokens, segments, field.scores(segments))
             for s, want, have in zip(segments, gold, p, strict=True):
-                for k, x, y in zip(KINDS, want, have, strict=True):
+                for k, x, y in zip(FIELD_KINDS, want, have, strict=True):
                     if abs(x - y) > 1e-3:
                         for f in s[4]:
                             field.weights[k, f] += step * (x - y) / 3
@@ -304,7 +343,7 @@ def redact(text: str, spans: list[Span]) -> str:
 def marked(docs: DataFrame, text: str = "text", least: float = 0.9) -> DataFrame:
     """(row, n_email, n_ip, n_card, n_phone, base_sha256, spans, redacted) for each row; row holds all its columns.
 
-    Counts and the hash are of base spans; spans lists all, `kind:start:end` in code points, by start and kind;
+    Counts and the hash are of base spans; spans lists all, `kind:start:end` (a kind of the field's own is `secret`) in code points, by start and kind;
     redacted is the text with all of them replaced (null stays null). least: probability from which the field's spans
     are taken. Null text counts as empty; repeated rows give repeated results; an empty table an empty result.
     """

@@ -304,6 +304,24 @@ def test_field():
     assert pii_crf.redact(text, pii_crf.all_spans(text, field, 0.5)[1]) == "see <EMAIL>."
 
 
+def test_field_on_documents(spark):
+    """Every value that the documents call a token is found, and nothing else is added to the base spans."""
+    found = named = 0
+    for r in pii_crf.personal_data(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        want = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "", re.IGNORECASE)}
+        added = set(filter(None, r.spans.split(","))) - {f"{k}:{a}:{b}" for a, b, k in base(r.text or "")}
+        assert added <= want
+        found, named = found + len(added), named + len(want)
+    assert named > 5 and found == named
+
+
+def test_secrets():
+    field = pii_crf.trained()
+    hexed = "3f9a0c" * 6 + "77b1"
+    for text, want in [(f'api_key: "{hexed}"', True), (f"password = {hexed}", True), (f"commit {hexed} fixes it", False), (f'checksum = "{hexed}"', False), ("token = see_the_next_page", False), (f"{hexed}", False)]:
+        assert bool([s for s in field.spans(text, 0.9) if s[2] == "secret"]) == want, text
+
+
 def test_field_sums_over_all_segmentations():
     n, segments = 4, [(0, 2, 0, 2, ("f",)), (1, 3, 1, 3, ("g",)), (2, 4, 2, 4, ("f", "g"))]
     field = pii_crf.Field({("email", "f"): 1.0, ("ip", "g"): 0.5, ("card", "f"): -1.0})
@@ -315,7 +333,7 @@ def test_field_sums_over_all_segmentations():
         out = every(at + 1)
         for s, seg in enumerate(segments):
             if seg[0] == at:
-                out = out + [(x + scores[s][k], [(s, k), *p]) for k in range(4) for x, p in every(seg[1])]
+                out = out + [(x + scores[s][k], [(s, k), *p]) for k in range(len(pii_crf.FIELD_KINDS)) for x, p in every(seg[1])]
         return out
 
     total = sum(math.exp(x) for x, _ in every(0))
