@@ -61,12 +61,27 @@ def unbwt(coded: bytes) -> bytes:
     return _walk(last - 1, step, 0, len(last) - 1)
 
 
+def rotations(block: bytes) -> np.ndarray:
+    """Starts of the rotations in byte order; of equal ones (a text that repeats itself) the later start first, as the
+    suffixes of the text written twice have it. Ranks of rotations' first k bytes are doubled cyclically; beyond k = n
+    nothing can change."""
+    n = len(block)
+    rank, k = as_array(block).astype(np.int64), 1
+    while True:
+        pair = rank * (max(n, 256) + 1) + np.roll(rank, -k)
+        order = np.argsort(pair, kind="stable")
+        new = np.empty(n, np.int64)
+        new[order] = np.concatenate([[0], np.cumsum(pair[order][1:] != pair[order][:-1])])
+        rank, k = new, 2 * k
+        if k >= n or rank[order[-1]] == n - 1:
+            return np.lexsort((-np.arange(n), rank)) if rank[order[-1]] < n - 1 else order
+
+
 def bwt_cyclic(block: bytes) -> bytes:
     """Last column of the n rotations, ordered as suffixes of the text written twice, then the text's own row as u32."""
     if not block:
         return b""
-    order = suffix_array(block + block)
-    order = order[order < len(block)]
+    order = rotations(block)
     return as_array(block)[order - 1].tobytes() + struct.pack("<I", int(np.flatnonzero(order == 0)[0]))
 
 

@@ -49,12 +49,26 @@ _PAIRS = """
 p1 AS (SELECT file_id, block_id, lag(b) OVER (PARTITION BY file_id, block_id ORDER BY pos) AS prev, b AS sym FROM bt),
 p AS (SELECT file_id, block_id, prev, sym, count(*)::BIGINT AS cnt FROM p1 WHERE prev IS NOT NULL GROUP BY ALL)"""
 
+#: Codes of move-to-front without its list: how many distinct bytes came since the byte before of the same value; where there
+#: is none, how many came at all, and those of lesser value that are still to come. Then which values occur, as 256 bits.
+_MTF = f"""WITH {_blocks(512)},
+p AS (SELECT file_id, block_id, pos, b, lag(pos) OVER (PARTITION BY file_id, block_id, b ORDER BY pos) AS prev FROM bt),
+q AS (SELECT file_id, block_id, list(coalesce(prev, -1)::SMALLINT ORDER BY pos) AS prevs FROM p GROUP BY ALL),
+c AS (SELECT p.file_id, p.block_id, pos, b, prev, CASE WHEN prev IS NOT NULL THEN len(list_filter(list_slice(prevs, prev + 2, pos), lambda x: x <= prev)) ELSE len(list_filter(list_slice(prevs, 1, pos), lambda x: x < 0)) END AS code FROM p JOIN q USING (file_id, block_id)),
+fo AS (SELECT file_id, block_id, b, pos FROM c WHERE prev IS NULL),
+un AS (SELECT x.file_id, x.block_id, x.pos, count(*) AS unseen FROM fo x JOIN fo y ON x.file_id = y.file_id AND x.block_id = y.block_id AND y.b < x.b AND y.pos > x.pos GROUP BY ALL),
+z AS (SELECT c.file_id, c.block_id, string_agg(lpad(lower(hex(code + coalesce(unseen, 0))), 2, '0'), '' ORDER BY pos) AS codes FROM c LEFT JOIN un USING (file_id, block_id, pos) GROUP BY ALL),
+v AS (SELECT file_id, block_id, b // 8 AS j, sum(1 << (7 - b % 8))::INT AS v FROM fo GROUP BY ALL),
+w AS (SELECT z.file_id, z.block_id, string_agg(lpad(lower(hex(coalesce(v, 0))), 2, '0'), '' ORDER BY i) AS bitmap FROM z CROSS JOIN range(32) r(i) LEFT JOIN v ON v.file_id = z.file_id AND v.block_id = z.block_id AND j = i GROUP BY ALL)
+SELECT bl.file_id, bl.block_id, n, coalesce(codes || bitmap, '') AS coded_hex FROM bl LEFT JOIN z USING (file_id, block_id) LEFT JOIN w USING (file_id, block_id)"""
+
 DOC_TREE = f"""
-d AS (SELECT DISTINCT source, lang FROM documents),
+docs AS (SELECT * REPLACE (coalesce(source, '-') AS source, coalesce(lang, '-') AS lang) FROM documents),
+d AS (SELECT DISTINCT source, lang FROM docs),
 so AS (SELECT source, row_number() OVER (ORDER BY source) AS i FROM (SELECT DISTINCT source FROM d)),
 la AS (SELECT d.source, d.lang, row_number() OVER (ORDER BY d.source, d.lang) AS j, i FROM d JOIN so USING (source)),
 folders AS (SELECT 0::BIGINT AS folder_id, NULL::BIGINT AS parent_id, 'corpus.arc' AS name, 1::BIGINT AS ord UNION ALL SELECT i, 0, source, i FROM so UNION ALL SELECT j + 1000000, i, lang, j FROM la),
-files AS (SELECT doc_id AS file_id, j + 1000000 AS folder_id, 'doc_' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS original_size, (octet_length(encode(coalesce(text, ''))) + 8 * greatest(1, (octet_length(encode(coalesce(text, ''))) + {(1 << 24) - 1}) // {1 << 24}))::BIGINT AS compressed_size, doc_id AS ord FROM documents JOIN la USING (source, lang))"""
+files AS (SELECT doc_id AS file_id, j + 1000000 AS folder_id, 'doc_' || doc_id || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS original_size, (octet_length(encode(coalesce(text, ''))) + 8 * greatest(1, (octet_length(encode(coalesce(text, ''))) + {(1 << 24) - 1}) // {1 << 24}))::BIGINT AS compressed_size, doc_id AS ord FROM docs JOIN la USING (source, lang))"""
 
 NATION_TREE = """
 folders AS (SELECT 0::BIGINT AS folder_id, NULL::BIGINT AS parent_id, 'world.arc' AS name, 1::BIGINT AS ord UNION ALL SELECT r_regionkey + 1, 0, r_name, r_regionkey + 1 FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey + 1, n_name, n_nationkey + 1 FROM nation),
@@ -109,14 +123,12 @@ def oracles() -> dict[str, str]:
         "blk_split": _inverse(512),
         "blk_join": f"WITH {_blocks(512)} SELECT file_id, octet_length(c)::BIGINT AS n, sha256(c) AS sha256 FROM f",
         "compressed_size": f"WITH {_blocks(512)} SELECT file_id, sum(n + 8)::BIGINT AS compressed_size, count(*) AS n_blocks FROM bl GROUP BY file_id",
-        "archive_scan": "SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, 32768 AS flags, octet_length(encode(coalesce(text, '')))::BIGINT AS original_size, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS compressed_size FROM documents",
-        "archive_roundtrip": "SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS original_size, sha1(encode(coalesce(text, ''))) AS sha1, sha256(encode(coalesce(text, ''))) AS sha256 FROM documents",
+        "archive_scan": "SELECT coalesce(source, '-') || '/' || coalesce(lang, '-') || '/doc_' || doc_id || '.txt' AS path, 32768 AS flags, octet_length(encode(coalesce(text, '')))::BIGINT AS original_size, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS compressed_size FROM documents",
+        "archive_roundtrip": "SELECT coalesce(source, '-') || '/' || coalesce(lang, '-') || '/doc_' || doc_id || '.txt' AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS original_size, sha1(encode(coalesce(text, ''))) AS sha1, sha256(encode(coalesce(text, ''))) AS sha256 FROM documents",
         "config_parse": """WITH l AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g') AS line FROM conversations),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) AS k FROM l),
-u AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) AS i FROM k WHERE k <= 3 AND trim(line) <> '' AND NOT starts_with(line, '##')),
-s AS (SELECT * FROM (VALUES (1, 'extraction_path', ''), (2, 'filesize_scaling', '1'), (3, 'dark_mode', '1')) t(i, setting, value)),
-c AS (SELECT DISTINCT conv_id FROM conversations)
-SELECT c.conv_id, setting, coalesce(u.line, s.value) AS value FROM c CROSS JOIN s LEFT JOIN u ON u.conv_id = c.conv_id AND u.i = s.i""",
+s AS (SELECT * FROM (VALUES ('extraction_path', ''), ('filesize_scaling', '1'), ('dark_mode', '1')) t(setting, value))
+SELECT conv_id, turn, setting, CASE WHEN setting = 'extraction_path' AND trim(line) <> '' AND NOT starts_with(line, '##') THEN line ELSE value END AS value FROM l CROSS JOIN s""",
+        "mtf": _MTF,
         "path_depth": "WITH d AS (SELECT page_id, length(regexp_replace(url, '[^/]', '', 'g'))::BIGINT AS depth FROM pages) SELECT page_id, depth, row_number() OVER (ORDER BY depth, page_id) AS rnk FROM d",
         "list_entries": f"WITH {DOC_TREE}, {_ENTRIES} SELECT is_file, id, name, size, packed, ratio FROM entries",
         "human_size_scaled": _scaled(),
@@ -126,7 +138,7 @@ SELECT c.conv_id, setting, coalesce(u.line, s.value) AS value FROM c CROSS JOIN
         "select_subtree": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT folder_id FROM folders WHERE folder_id IN (2, 103) UNION SELECT f.folder_id FROM folders f JOIN t ON f.parent_id = t.folder_id) SELECT 'folder' AS kind, folder_id AS id FROM t UNION ALL SELECT 'file', file_id FROM files WHERE folder_id IN (SELECT folder_id FROM t)",
         "folder_paths": f"WITH RECURSIVE {DOC_TREE}, t AS (SELECT folder_id, 'corpus' AS path FROM folders WHERE parent_id IS NULL UNION ALL SELECT f.folder_id, t.path || '/' || f.name FROM folders f JOIN t ON f.parent_id = t.folder_id) SELECT folder_id, path FROM t",
         "file_paths": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT folder_id, 'world' AS path FROM folders WHERE parent_id IS NULL UNION ALL SELECT f.folder_id, t.path || '/' || f.name FROM folders f JOIN t ON f.parent_id = t.folder_id) SELECT file_id, path || '/' || name AS path FROM files JOIN t USING (folder_id)",
-        "ancestors": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT DISTINCT folder_id FROM files WHERE original_size % 97 = 0 UNION SELECT f.parent_id FROM folders f JOIN t ON f.folder_id = t.folder_id WHERE f.parent_id IS NOT NULL) SELECT folder_id FROM t",
+        "ancestors": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT DISTINCT folder_id FROM files UNION SELECT f.parent_id FROM folders f JOIN t ON f.folder_id = t.folder_id WHERE f.parent_id IS NOT NULL) SELECT folder_id FROM t",
         "flat_paths": f"WITH {DOC_TREE} SELECT file_id, 'out/' || name AS path FROM files",
         "remove_subtree": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT 3::BIGINT AS folder_id UNION SELECT f.folder_id FROM folders f JOIN t ON f.parent_id = t.folder_id), k AS (SELECT * FROM files WHERE folder_id NOT IN (SELECT folder_id FROM t)) SELECT file_id, folder_id, name, compressed_size, (1 + coalesce(sum(43 + octet_length(encode(name)) + compressed_size) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 43 + octet_length(encode(name)))::BIGINT AS data_location FROM k",
         "dedup_names": f"""WITH {DOC_TREE}, n AS (SELECT file_id, folder_id, ord, CASE file_id % 7 WHEN 0 THEN 'a (1).txt' WHEN 1 THEN 'a (3).txt' ELSE (['a', 'b'])[file_id % 7 % 2 + 1] || '.txt' END AS name FROM files),

@@ -30,6 +30,8 @@ QUERIES: dict[str, Query] = {}
 #: Block sizes: the format's smallest for transforms, more for models, the largest for coding.
 SMALL, MIDDLE, LARGE = 512, 65_536, 1 << 24
 FILES = [f"f{i}" for i in range(8)]
+#: Folder of documents without a source or language.
+NO_NAME = "-"
 
 
 def query(f: Query) -> Query:
@@ -60,7 +62,7 @@ def hexed(column: str) -> Column:
 
 # The two trees.
 def doc_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").withColumns({c: F.coalesce(c, F.lit(NO_NAME)) for c in ("source", "lang")})
     pairs = docs.select("source", "lang").distinct()  # as many as there are folders
     sources = pairs.select("source").distinct().withColumn("i", F.row_number().over(Window.orderBy("source")).cast("long"))
     langs = pairs.withColumn("j", F.row_number().over(Window.orderBy("source", "lang")).cast("long")).join(sources, "source")
@@ -111,7 +113,7 @@ def _contained(spark, sf, flags):
     container.register(spark)
     path = f"{shared_dir(spark)}/containers-{uuid.uuid4().hex}"
     docs = table(spark, sf, "documents")
-    rows = docs.select(F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    rows = docs.select(F.concat_ws("/", *[F.coalesce(c, F.lit(NO_NAME)) for c in ("source", "lang")], F.concat(F.lit("doc_"), "doc_id", F.lit(".txt"))).alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     spread(rows).write.format("bytecontainer").mode("append").option("flags", str(flags)).save(path)
     return path
 
@@ -133,11 +135,11 @@ def archive_roundtrip(spark, sf):
 
 @query
 def config_parse(spark, sf):
-    """One settings file for each conversation: its texts' lines, as far as there are three."""
-    lines = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("no"), F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]+", " ").alias("line"))
-    few = lines.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy("no", "line")))
-    few = few.withColumn("line", F.when(F.col("k") > 3, F.concat(F.lit("## "), "line")).otherwise(F.col("line")))
-    return parse_settings(few.drop("k"), ("conv_id",))
+    """One settings file for each turn of each conversation: a comment with its number and role, and its text as one line."""
+    turns = table(spark, sf, "conversations")
+    line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\\n]+", " ")
+    lines = F.array(F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), F.coalesce("role", F.lit(""))), F.lit(""), line)
+    return parse_settings(turns.select("conv_id", "turn", F.posexplode(lines).alias("no", "line")), ("conv_id", "turn"))
 
 
 @query
@@ -194,7 +196,7 @@ def file_paths(spark, sf):
 
 @query
 def ancestors(spark, sf):
-    return C.ancestors(*nation_tree(spark, sf), F.col("original_size") % 97 == 0)
+    return C.ancestors(*nation_tree(spark, sf), F.lit(True))
 
 
 @query

@@ -38,10 +38,13 @@ def use_workers(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share: spark.checkpoint.dir of the session.
 
-    Only where nothing is set (tests, a single machine) a temporary folder is made and set.
+    Only on a single machine (a local master) and where nothing is set, a temporary folder is made and set; on a cluster
+    executors would write to their own disks there, so that is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = Path(tempfile.mkdtemp(prefix="bytequarry-")).as_uri()
     if not sc.getCheckpointDir():

@@ -34,5 +34,4 @@ def split_blocks(files: DataFrame, block_size: int, content: str = "content") ->
 
 def join_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, content): blocks put together again in order. A file is one value, so its blocks must meet in one row."""
-    parts = F.array_sort(F.collect_list(F.struct("block_id", "block")))
-    return blocks.groupBy(*keys).agg(parts.alias("parts")).select(*keys, F.expr("aggregate(parts, cast('' as binary), (a, p) -> a || p.block)").alias("content"))
+    return blocks.groupBy(*keys).agg(F.expr("coalesce(listagg(block) within group (order by block_id), cast('' as binary))").alias("content"))

@@ -164,3 +164,42 @@ def test_stream(spark, tmp_path):
     rows = spark.table("coded").orderBy("block_id")
     again = rows.select(codecs.decode(F.col("coded"), "BWT2+MTF+RLE").alias("b")).collect()
     assert b"".join(bytes(r.b) for r in again) == b"ab" * 700
+
+
+def test_documents_without_source_or_language(spark, tmp_path):
+    """They stand in folders of their own, and no file is lost."""
+    import duckdb
+
+    from bytequarry.plans.oracles import oracles
+    from bytequarry.plans.queries import QUERIES
+
+    rows = [(1, "a", None, "s"), (2, "b", "en", None), (3, None, None, None), (4, "d", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("list_entries", "flat_paths", "folder_paths", "archive_scan"):
+        made = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(made.columns)} FROM ({oracles()[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
+    assert QUERIES["flat_paths"](spark, str(tmp_path)).count() == 4
+
+
+def test_rotations_as_the_doubled_text_has_them():
+    import random
+
+    from bytequarry.operators import kernels
+
+    r = random.Random(1)
+    for b in [b"a" * 50, b"ab" * 30, b"abc" * 9, *(bytes(r.choices(b"ab\xff", k=r.randint(1, 14))) for _ in range(500))]:
+        order = kernels.suffix_array(b + b)
+        assert (kernels.rotations(b) == order[order < len(b)]).all()
+
+
+def test_shared_folder_needs_a_name_on_a_cluster():
+    from types import SimpleNamespace
+
+    from bytequarry.shared import shared_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
