@@ -79,7 +79,7 @@ def test_mixing(stages):
     kept = mixing.mix(before, queries.mix_tree(), queries.MIX_WEIGHTS, fraction=corpus_pipeline.MIX_FRACTION, max_epochs=1, seed=1)
     assert rows(after) == rows(kept.select("row.*")) and set(rows(after)) <= set(rows(before))
     taken = kept.agg(F.sum("mix_taken")).first()[0]
-    supply = before.agg(F.sum(mixing.word_tokens(F.col("text")))).first()[0]
+    supply = before.agg(F.sum(mixing.estimated_tokens(F.col("text")))).first()[0]
     assert abs(taken - corpus_pipeline.MIX_FRACTION * supply) <= 100
 
 

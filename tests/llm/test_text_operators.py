@@ -497,7 +497,7 @@ def test_share():
 @pytest.mark.parametrize(("epochs", "fraction"), [(1, 0.5), (3, 1.4)])
 def test_mix(texts, empty, epochs, fraction):
     tree, weights = queries.mix_tree(), queries.MIX_WEIGHTS
-    n = mixing.word_tokens(F.col("text"))
+    n = mixing.estimated_tokens(F.col("text"))
     named = F.coalesce(F.col("doc_id").cast("string"), F.col("text"))
     hashes = [F.xxhash64(F.lit(4), F.lit(e), named).alias(f"h{e}") for e in range(epochs)]
     rows = texts.select("doc_id", "text", n.alias("n"), F.array(*tree).alias("leaf"), *hashes).collect()
@@ -526,7 +526,7 @@ def test_mix_of_one_leaf_in_fine_parts(spark, monkeypatch):
     rows = [(i if i % 3 else None, "w " * (1 + i % 5) + str(i), "x", "kept") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, `mix_a.b` string")
     got = mixing.mix(df, [F.col("lang")], {}, fraction=0.6, seed=4).collect()
-    named = [F.xxhash64(F.lit(4), F.lit(0), F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("h"), mixing.word_tokens(F.col("text")).alias("n")]
+    named = [F.xxhash64(F.lit(4), F.lit(0), F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("h"), mixing.estimated_tokens(F.col("text")).alias("n")]
     order = sorted(df.select("doc_id", "text", *named).collect(), key=lambda r: (r.h % (1 << 64), r.text))
     want, at, budget = Counter(), 0, int(0.6 * sum(r.n for r in order) + 0.5)
     for r in order:
@@ -536,6 +536,6 @@ def test_mix_of_one_leaf_in_fine_parts(spark, monkeypatch):
     assert Counter((r.row.doc_id, r.row.text, r.mix_taken) for r in got) == want and {r.row["mix_a.b"] for r in got} == {"kept"}
 
 
-def test_word_tokens(spark):
+def test_estimated_tokens(spark):
     df = spark.createDataFrame([("a  b\n c",), ("漢字かな x",), ("",), (None,), ("ภาษา",), ("été, là",)], "text string")
-    assert [r.n for r in df.select(mixing.word_tokens(F.col("text")).alias("n")).collect()] == [3, 5, 0, 0, 4, 2]
+    assert [r.n for r in df.select(mixing.estimated_tokens(F.col("text")).alias("n")).collect()] == [2, 4, 0, 0, 3, 3]
