@@ -18,7 +18,8 @@ from .bloom_lm import mixed
 from .common import kept, saved, spread, use_workers, words
 from .components import as_links, connected_components, forest
 
-BANDS, ROWS = 24, 3
+#: Sets of a similarity of 0.5 have a common key with probability 0.75, of 0.35 with 0.2: candidates' groups stay near those of links.
+BANDS, ROWS = 44, 5
 #: Sets of a component that one task compares with each other; components with more are dealt out by pairs of blocks.
 BLOCK = 512
 #: Texts, and shingles but for a longer text, whose minima are taken at a time.
