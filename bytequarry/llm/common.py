@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shared import saved, shared_dir, spread, use_workers
 
-__all__ = ["Index", "crc_mod", "documents", "kept", "partitions_for", "power_of_two", "quoted", "saved", "shared_dir", "spread", "texts_of", "trim", "use_workers", "words"]
+__all__ = ["Index", "crc_mod", "documents", "kept", "partitions_for", "power_of_two", "sent", "quoted", "saved", "shared_dir", "spread", "texts_of", "trim", "use_workers", "words"]
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -71,6 +71,16 @@ def power_of_two(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
+#: Rows of a few numbers up to which a table is broadcast (some 50 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """A stored table of few columns of numbers, to be broadcast if it has no more rows than that, so that the texts it is
+    joined with needn't be shuffled; else as it is, and both sides are."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def quoted(column: str) -> str:
     """A column's name as Spark takes it whole, dots and all."""
     return "`" + column.replace("`", "``") + "`"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom_lm import mixed
-from .common import kept, saved, spread, use_workers, words
+from .common import kept, saved, sent, spread, use_workers, words
 from .components import as_links, connected_components, forest
 
 #: Sets of a similarity of 0.5 have a common key with probability 0.75, of 0.35 with 0.2: candidates' groups stay near those of links.
@@ -156,7 +156,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     full = near.groupBy("root").count().where(F.col("count") > block).select("root", F.ceil(F.col("count") / block).cast("int").alias("s"))
     dealt = near.join(full, "root", "left").withColumn("s", F.coalesce("s", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("s")).cast("int"))
-    texts = docs.join(dealt, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    texts = docs.join(sent(saved(dealt.select("doc_id", "root", "digest", "s", "block"))), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     cells = texts.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "text")
     cells = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     joined = connected_components(cells.mapInArrow(_compare(width, least), "a long, b long")).withColumnRenamed("id", "digest")
