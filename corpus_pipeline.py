@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import quoted, shared_dir
+from bytequarry.llm.common import quoted, saved, sent, shared_dir
 from bytequarry.llm.golay_simhash import near_duplicates as similar
 from bytequarry.llm.language_id import identified
 from bytequarry.llm.mixing import mix
@@ -39,8 +39,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest doc_id stays; rows without doc_id stay as they are."""
-    extra = similar(docs, SHINGLE_WORDS)
-    return docs.join(extra.select("doc_id"), "doc_id", "left_anti").select(*map(quoted, docs.columns))
+    extra = sent(saved(similar(docs, SHINGLE_WORDS).select("doc_id")))
+    return docs.join(extra, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
