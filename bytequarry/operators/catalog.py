@@ -83,6 +83,21 @@ def ancestors(folders: DataFrame, files: DataFrame, chosen: Column) -> DataFrame
     return lines.join(used, "folder_id", "left_semi").select(F.explode("line").alias("folder_id")).distinct()
 
 
+def find_file(files: DataFrame, folder: int, file_id: int) -> DataFrame:
+    """The file of this id if it lies directly in the folder."""
+    return files.where((F.col("folder_id") == folder) & (F.col("file_id") == file_id))
+
+
+def find_folder(folders: DataFrame, parent: int, folder_id: int) -> DataFrame:
+    """The folder of this id if its parent is the given one."""
+    return folders.where((F.col("parent_id") == parent) & (F.col("folder_id") == folder_id))
+
+
+def find_by_name(paths: DataFrame) -> DataFrame:
+    """(name, path): for every last name the first path, by order, that ends in it."""
+    return paths.groupBy(F.regexp_extract("path", "([^/]*)$", 1).alias("name")).agg(F.min("path").alias("path"))
+
+
 def entries(folders: DataFrame, files: DataFrame) -> DataFrame:
     """Folders and files in one list: parent, is_file, id, name, size, packed, ratio (null for folders)."""
     ratio = F.when(F.col("compressed_size") > 0, F.col("original_size").cast("double") / F.col("compressed_size"))

@@ -138,6 +138,8 @@ SELECT conv_id, turn, setting, CASE WHEN setting = 'extraction_path' AND trim(li
         "select_subtree": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT folder_id FROM folders WHERE folder_id IN (2, 103) UNION SELECT f.folder_id FROM folders f JOIN t ON f.parent_id = t.folder_id) SELECT 'folder' AS kind, folder_id AS id FROM t UNION ALL SELECT 'file', file_id FROM files WHERE folder_id IN (SELECT folder_id FROM t)",
         "folder_paths": f"WITH RECURSIVE {DOC_TREE}, t AS (SELECT folder_id, 'corpus' AS path FROM folders WHERE parent_id IS NULL UNION ALL SELECT f.folder_id, t.path || '/' || f.name FROM folders f JOIN t ON f.parent_id = t.folder_id) SELECT folder_id, path FROM t",
         "file_paths": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT folder_id, 'world' AS path FROM folders WHERE parent_id IS NULL UNION ALL SELECT f.folder_id, t.path || '/' || f.name FROM folders f JOIN t ON f.parent_id = t.folder_id) SELECT file_id, path || '/' || name AS path FROM files JOIN t USING (folder_id)",
+        "find_by_name": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT folder_id, 'world' AS path FROM folders WHERE parent_id IS NULL UNION ALL SELECT f.folder_id, t.path || '/' || f.name FROM folders f JOIN t ON f.parent_id = t.folder_id) SELECT name, min(path || '/' || name) AS path FROM files JOIN t USING (folder_id) GROUP BY name",
+        "find_folder": f"WITH {NATION_TREE} SELECT folder_id, parent_id, name FROM folders WHERE parent_id = 0 AND folder_id = 3",
         "ancestors": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT DISTINCT folder_id FROM files UNION SELECT f.parent_id FROM folders f JOIN t ON f.folder_id = t.folder_id WHERE f.parent_id IS NOT NULL) SELECT folder_id FROM t",
         "flat_paths": f"WITH {DOC_TREE} SELECT file_id, 'out/' || name AS path FROM files",
         "remove_subtree": f"WITH RECURSIVE {NATION_TREE}, t AS (SELECT 3::BIGINT AS folder_id UNION SELECT f.folder_id FROM folders f JOIN t ON f.parent_id = t.folder_id), k AS (SELECT * FROM files WHERE folder_id NOT IN (SELECT folder_id FROM t)) SELECT file_id, folder_id, name, compressed_size, (1 + coalesce(sum(43 + octet_length(encode(name)) + compressed_size) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 43 + octet_length(encode(name)))::BIGINT AS data_location FROM k",

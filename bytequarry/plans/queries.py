@@ -194,6 +194,16 @@ def file_paths(spark, sf):
     return C.file_paths(*nation_tree(spark, sf))
 
 
+@query
+def find_by_name(spark, sf):
+    return C.find_by_name(C.file_paths(*nation_tree(spark, sf)))
+
+
+@query
+def find_folder(spark, sf):
+    return C.find_folder(nation_tree(spark, sf)[0], 0, 3).select("folder_id", "parent_id", "name")
+
+
 @query
 def ancestors(spark, sf):
     return C.ancestors(*nation_tree(spark, sf), F.lit(True))

@@ -8,21 +8,23 @@ The coded size counts block headers and payloads. Folders are written each with
 subfolders.
 
 spark.read.format("bytecontainer").load(folder) gives a row for each file; the option decode=false leaves contents out
-and reads records only. df.write.format("bytecontainer").save(folder) takes (path, content[, flags]) and writes one
+and reads records only; the option stages names an order of stages of one's own, for writing and reading. df.write.format("bytecontainer").save(folder) takes (path, content[, flags]) and writes one
 container for each task. A container stays whole or absent: tasks write under other names, and only the commit renames.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -54,12 +56,21 @@ def checksum(content: bytes, kind: str) -> bytes:
     return hashlib.new({"SHA-1": "sha1", "SHA-256": "sha256"}[kind], content).hexdigest().encode()
 
 
-def coded_blocks(content: bytes, flags: int) -> bytes:
-    """A file's data: its blocks, each through the stages that the flags name."""
+def block_size_of(flags: int) -> int:
+    return LARGEST_BLOCK >> (flags >> 9 & 15)
+
+
+def coders(flags: int, stages: str | None = None) -> list[tuple]:
+    """(encode, decode) of the stages that the flags name in their order, or of names between plus signs in theirs."""
     from ..operators.codecs import STAGES, stages_of
 
-    size = LARGEST_BLOCK >> (flags >> 9 & 15)
-    chain, out = [STAGES[s][0] for s in stages_of(flags & 0xFF)], []
+    return [STAGES[s] for s in stages_of(stages if stages else flags & 0xFF)]
+
+
+def coded_blocks(content: bytes, flags: int, stages: str | None = None) -> bytes:
+    """A file's data: its blocks, each through its stages."""
+    size = block_size_of(flags)
+    chain, out = [c[0] for c in coders(flags, stages)], []
     for k in range(max(1, -(-len(content) // size))):
         block = content[k * size : (k + 1) * size]
         for f in chain:
@@ -68,10 +79,8 @@ def coded_blocks(content: bytes, flags: int) -> bytes:
     return b"".join(out)
 
 
-def decoded(data: bytes, flags: int) -> bytes:
-    from ..operators.codecs import STAGES, stages_of
-
-    chain, at, out = [STAGES[s][1] for s in reversed(stages_of(flags & 0xFF))], 0, []
+def decoded(data: bytes, flags: int, stages: str | None = None) -> bytes:
+    chain, at, out = [c[1] for c in reversed(coders(flags, stages))], 0, []
     while at < len(data):
         _, n = BLOCK.unpack_from(data, at)
         block = data[at + BLOCK.size : at + BLOCK.size + n]
@@ -83,20 +92,31 @@ def decoded(data: bytes, flags: int) -> bytes:
 
 
 class ContainerWriter:
-    """Takes files by path and writes one container. Coded data are kept till the end, when places are known."""
+    """Takes files by path and writes one container. Only sizes are needed before it is written; data can come from
+    elsewhere while it is."""
 
     def __init__(self, name: str):
         self.root = {"name": name, "folders": {}, "files": {}}
 
-    def add(self, path: str, content: bytes, flags: int) -> None:
-        *folders, name = path.split("/")
+    def folder(self, path: str) -> dict:
+        """The folder of this path, made with those above it where it isn't there."""
         node = self.root
-        for f in folders:
+        for f in filter(None, path.split("/")):
             node = node["folders"].setdefault(f, {"name": f, "folders": {}, "files": {}})
+        return node
+
+    def add(self, path: str, content: bytes, flags: int, stages: str | None = None) -> None:
+        kind = checksum_of(flags)
+        data = coded_blocks(content, flags, stages) + (checksum(content, kind) if kind else b"")
+        self.add_coded(path, flags, len(data) - (CHECKSUM_SIZES[kind] if kind else 0), len(content), lambda: [data])
+
+    def add_coded(self, path: str, flags: int, coded_size: int, size: int, chunks: Callable[[], Iterable[bytes]]) -> None:
+        """A file whose data (blocks, then checksum) chunks() gives when its turn comes."""
+        above, _, name = path.rpartition("/")
+        node, kind = self.folder(above), checksum_of(flags)
         if name in node["files"]:
             raise ValueError(f"two files of one path: {path}")
-        kind = checksum_of(flags)
-        node["files"][name] = (flags, coded_blocks(content, flags), len(content), checksum(content, kind) if kind else b"")
+        node["files"][name] = (flags, coded_size, size, CHECKSUM_SIZES[kind] if kind else 0, chunks)
 
     @staticmethod
     def _name(name: str) -> bytes:
@@ -126,7 +146,7 @@ class ContainerWriter:
                 order.append((what, node, parent))
                 for name, f in node["files"].items():
                     place[id(node), name] = at
-                    at += len(self._name(name)) + FILE.size + len(f[1]) + len(f[3])
+                    at += len(self._name(name)) + FILE.size + f[1] + f[3]
         out.write(b"\0")
         for what, node, parent in order:
             if what == "folder":
@@ -135,10 +155,16 @@ class ContainerWriter:
                 continue
             names = list(node["files"])
             for k, name in enumerate(names):
-                flags, data, size, check = node["files"][name]
+                flags, coded, size, n_check, chunks = node["files"][name]
                 own = self._name(name)
                 after = place[id(node), names[k + 1]] if k + 1 < len(names) else 0
-                out.write(own + FILE.pack(place[id(node)], after, flags, place[id(node), name] + len(own) + FILE.size, len(data), size) + data + check)
+                out.write(own + FILE.pack(place[id(node)], after, flags, place[id(node), name] + len(own) + FILE.size, coded, size))
+                left = coded + n_check
+                for chunk in chunks():
+                    out.write(chunk)
+                    left -= len(chunk)
+                if left:
+                    raise ValueError(f"{name} has other data than its record tells")
 
 
 class Container:
@@ -174,13 +200,29 @@ class Container:
                 yield {"path": path + name, "flags": flags, "data_location": where, "compressed_size": coded, "original_size": size}
                 at = sibling
 
-    def content(self, file: dict, verify: bool = True) -> tuple[bytes, str]:
+    def name(self) -> str:
+        """The root folder's name."""
+        return self._name(1)[0]
+
+    def chunks(self, file: dict) -> Iterator[bytes]:
+        """A file's data as they stand, blocks and checksum, a MiB at a time."""
+        kind = checksum_of(file["flags"])
+        at, left = file["data_location"], file["compressed_size"] + (CHECKSUM_SIZES[kind] if kind else 0)
+        while left:
+            self.source.seek(at)
+            part = self.source.read(min(left, 1 << 20))
+            if not part:
+                raise ValueError(f"{file['path']} is cut short")
+            yield part
+            at, left = at + len(part), left - len(part)
+
+    def content(self, file: dict, verify: bool = True, stages: str | None = None) -> tuple[bytes, str]:
         """(bytes, checksum) of a file; raises ValueError if they don't agree and verify is set."""
         self.source.seek(file["data_location"])
         data = self.source.read(file["compressed_size"])
         kind = checksum_of(file["flags"])
         check = self.source.read(CHECKSUM_SIZES[kind]).decode() if kind else ""
-        content = decoded(data, file["flags"])
+        content = decoded(data, file["flags"], stages)
         if verify and (len(content) != file["original_size"] or kind and checksum(content, kind).decode() != check):
             raise ValueError(f"{file['path']} is damaged")
         return content, check
@@ -212,7 +254,7 @@ class _Reader(DataSourceReader):
         with store.open_input_file(partition.path) as source:
             container = Container(source)
             for f in list(container.files()):
-                content, check = container.content(f, verify) if whole else (None, None)
+                content, check = container.content(f, verify, self.options.get("stages")) if whole else (None, None)
                 yield partition.path.rpartition("/")[2], f["path"], f["flags"], f["data_location"], f["compressed_size"], f["original_size"], check, content
 
 
@@ -224,7 +266,7 @@ class _Done(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
         self.root, self.flags, self.overwrite = options["path"], int(options.get("flags", "0")), overwrite
-        self.columns = schema.fieldNames()
+        self.columns, self.stages = schema.fieldNames(), options.get("stages")
         if not {"path", "content"} <= set(self.columns):
             raise ValueError("columns path and content are needed")
 
@@ -232,17 +274,15 @@ class _Writer(DataSourceWriter):
         writer, n = ContainerWriter("root" + SUFFIX), 0
         for row in rows:
             flags = row["flags"] if "flags" in self.columns and row["flags"] is not None else self.flags
-            writer.add(row["path"], bytes(row["content"] or b""), flags)
+            writer.add(row["path"], bytes(row["content"] or b""), flags, self.stages)
             n += 1
         if not n:
             return _Done("")
         store, root = store_of(self.root)
         store.create_dir(root, recursive=True)
         name = f"{uuid.uuid4().hex}{SUFFIX}"
-        held = io.BytesIO()
-        writer.write(held)
         with store.open_output_stream(f"{root}/.{name}.tmp") as out:
-            out.write(held.getbuffer())
+            writer.write(out)
         return _Done(name)
 
     def commit(self, messages):
@@ -295,15 +335,30 @@ def empty_container(path: str, name: str = "new" + SUFFIX) -> str:
     return f"{path.rstrip('/')}/{name}"
 
 
-def unpack(df, target: str) -> None:
-    """Write the files of (path, content) rows below a folder that all executors share."""
+def unpack(df, target: str, stem: bool = False, chosen: tuple[str, ...] = (), flat: bool = False) -> None:
+    """Write the files of (path, content) rows below a folder that all executors share.
+
+    chosen: only these files and what lies in these folders. flat: all go to the folder itself, under their last names
+    (two of one name are an error). stem: below a folder named as the container (column archive) less its extension.
+    """
+    if chosen:
+        own = [F.col("path").isin(list(chosen)), *(F.col("path").startswith(c.rstrip("/") + "/") for c in chosen)]
+        df = df.where(reduce(or_, own))
+    path = F.regexp_extract("path", "([^/]*)$", 1) if flat else F.col("path")
+    if stem:
+        path = F.concat(F.regexp_replace("archive", "(?<=.)\\.[^.]*$", ""), F.lit("/"), path)
+    df = df.select(path.alias("path"), "content")
+    if flat and (twice := df.groupBy("path").count().where("count > 1").first()):
+        raise ValueError(f"two files of one name: {twice['path']}")
 
     def save(rows):
         store, root = store_of(target)
         for row in rows:
+            if not set(row["path"].split("/")).isdisjoint(("", ".", "..")):
+                raise ValueError(f"a path that leads elsewhere: {row['path']}")
             path = f"{root}/{row['path']}"
             store.create_dir(path.rpartition("/")[0], recursive=True)
             with store.open_output_stream(path) as out:
                 out.write(bytes(row["content"] or b""))
 
-    df.select("path", "content").foreachPartition(save)
+    df.foreachPartition(save)

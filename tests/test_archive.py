@@ -6,10 +6,12 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from bytequarry import cli
 from bytequarry.functions import scalars as S
 from bytequarry.operators import catalog as C
 from bytequarry.operators import codecs
 from bytequarry.operators.order import in_order, ranked
+from bytequarry.sources import archives
 from bytequarry.sources import container as A
 from bytequarry.sources.blocks import join_blocks, split_blocks
 from bytequarry.sources.settings import parse_settings, read_settings, settings_text, write_report
@@ -76,6 +78,67 @@ def test_container_source(spark, tmp_path):
     assert spark.read.format("bytecontainer").load(path + "/x.arc").count() == 0
 
 
+def test_adding_and_removing_in_a_container(tmp_path):
+    path = tmp_path / "root.arc"
+    path.write_bytes(packed(FILES, 1 << 15 | 1 << 2))
+    uri = f"file://{path}"
+    archives.edit(uri, {"d/new": b"n" * 5000, "a.txt": b"other"}, ["d/e", "a.txt"], 1 << 14)
+    with path.open("rb") as source:
+        reader = A.Container(source)
+        found = {f["path"]: reader.content(f)[0] for f in reader.files()}
+        assert found == {"a.txt": b"other", "d/b.txt": FILES["d/b.txt"], "d/new": b"n" * 5000, "f/g.txt": b"g"}
+        assert {p for p, _, _ in reader.folders()} == {"", "d/", "f/"}
+    before = path.read_bytes()
+    for bad in ({"remove": ["none"]}, {"add": {"a.txt": b""}}):
+        with pytest.raises(ValueError):
+            archives.edit(uri, **bad)
+    assert path.read_bytes() == before and [p.name for p in tmp_path.iterdir()] == ["root.arc"]
+    archives.edit(uri, remove=["f/g.txt"])
+    with path.open("rb") as source:  # an empty folder stays
+        assert {p for p, _, _ in A.Container(source).folders()} == {"", "d/", "f/"}
+
+
+def test_packing_in_parallel_is_the_same_container(spark, tmp_path):
+    flags = 1 << 13 | 1 << 7 | 1 << 1 | 1 << 2 | 14 << 9
+    for name, content in FILES.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    archives.pack(spark, [(p, f"file://{tmp_path}/in/{p}") for p in FILES], f"file://{tmp_path}/root.arc", flags)
+    assert (tmp_path / "root.arc").read_bytes() == packed(dict(sorted(FILES.items())), flags)
+    with pytest.raises(FileNotFoundError):
+        archives.pack(spark, [("x", f"file://{tmp_path}/none")], f"file://{tmp_path}/x.arc")
+
+
+@pytest.mark.parametrize("alg", [[], ["--alg=1", "--blockSize=0.125"], ["--alg=BWT2+RLE+MTF+AC"]])
+def test_command_line(spark, tmp_path, alg):
+    content = b"abracadabra " * 900
+    (tmp_path / "t.txt").write_bytes(content)
+    cli.main(["--mode=compress", f"--archive={tmp_path}/x.arc", f"--fileToAdd={tmp_path}/t.txt", *alg], spark)
+    assert ((tmp_path / "x.arc").stat().st_size < len(content) / 2) == bool(alg)
+    cli.main(["--mode=decompress", f"--archive={tmp_path}/x.arc", f"--output={tmp_path}/out", *alg], spark)
+    assert (tmp_path / "out/x/t.txt").read_bytes() == content
+
+
+@pytest.mark.parametrize("argv", [["--archive=a"], ["--mode=compress", "--archive=a"], ["--mode=decompress", "--archive=", "--output=o"], ["--mode=compress", "--archive=a", "--fileToAdd=f", "--blockSize=3"], ["--mode=compress", "--archive=a", "--fileToAdd=f", "--alg=NONE"]])
+def test_command_line_errors(argv):
+    with pytest.raises(SystemExit):
+        cli.main(argv)
+
+
+def test_unpacking_a_part(spark, tmp_path):
+    rows = spark.createDataFrame([("r.arc", k, bytearray(v)) for k, v in FILES.items()], "archive string, path string, content binary")
+    out = lambda d: {str(p.relative_to(tmp_path / d)) for p in (tmp_path / d).rglob("*") if p.is_file()}
+    A.unpack(rows, f"file://{tmp_path}/a", stem=True, chosen=("d/e", "a.txt"))
+    assert out("a") == {"r/a.txt", "r/d/e/c.bin", "r/d/e/empty"}
+    A.unpack(rows, f"file://{tmp_path}/b", flat=True)
+    assert out("b") == {p.rpartition("/")[2] for p in FILES}
+    with pytest.raises(ValueError, match="one name"):
+        A.unpack(rows.union(rows), f"file://{tmp_path}/c", flat=True)
+    bad = spark.createDataFrame([("../x", bytearray(b""))], "path string, content binary")
+    with pytest.raises(Exception, match="leads elsewhere"):
+        A.unpack(bad, f"file://{tmp_path}/d")
+
+
 def test_blocks(spark):
     sizes = [0, 1, 511, 512, 513, 1024, 1025]
     files = spark.createDataFrame([(n, bytearray(b"z" * n)) for n in sizes], "file_id long, content binary")
@@ -99,6 +162,8 @@ def test_tree(spark):
     folders, files = tree(spark)
     assert {r.file_id: r.path for r in C.file_paths(folders, files).collect()} == {10: "r/x.txt", 11: "r/a/c/d/e/x.txt", 12: "r/a/c/d/e/x.txt", 13: "r/a/c/d/e/x (1).txt", 14: "r/b/f/.h"}
     assert {r.folder_id for r in C.subtree(folders, F.col("folder_id") == 1).collect()} == {1, 3, 4, 5}
+    assert C.find_file(files, 5, 12).count() == 1 and C.find_file(files, 0, 12).count() == 0
+    assert C.find_folder(folders, 0, 2).first().name == "b" and C.find_folder(folders, 1, 2).count() == 0
     assert {(r.kind, r.id) for r in C.select_subtree(folders, files, F.col("folder_id") == 2).collect()} == {("folder", 2), ("folder", 6), ("file", 14)}
     assert {r.folder_id for r in C.ancestors(folders, files, F.col("file_id") == 13).collect()} == {0, 1, 3, 4, 5}
     left, kept = C.remove_subtree(folders, files, F.col("folder_id") == 3)
