@@ -180,7 +180,7 @@ def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall:
     tree = Tree(sample, math.ceil(n / leaf_rows))
     visits = calibrate(tree, sample, k, recall)
     shared = spark.sparkContext.broadcast((tree, visits))  # of a sample of `most` rows
-    filed_schema, asked_schema = "vec_id long, vec binary, leaf long", "vec_id long, vec binary, leaf long"
+    filed_schema, asked_schema = "vec_id long, vec binary, leaf long", "vec_id long, vec binary, group long, leaves array<long>"
 
     def matrix_of(b):
         return unit(matrix(b.column("vec").to_pylist(), width))
@@ -189,9 +189,16 @@ def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall:
         return b.set_column(b.schema.get_field_index("leaf"), "leaf", pa.array(tree.file(matrix_of(b)) + above, pa.int64()))
 
     def asked_of(tree, visits, b, above=0):
-        leaves = [tree.visits(x, visits) for x in matrix_of(b)]
-        at = pa.array(np.repeat(np.arange(b.num_rows), [len(x) for x in leaves]))
-        return pa.RecordBatch.from_arrays([b.column("vec_id").take(at), b.column("vec").take(at), pa.array([x + above for own in leaves for x in own], pa.int64())], ["vec_id", "vec", "leaf"])
+        """A row for each query and group of leaves that it visits."""
+        at, leaves = [], []
+        for i, x in enumerate(matrix_of(b)):
+            own = np.sort(np.array(tree.visits(x, visits), np.int64) + above)
+            groups = own // GROUP
+            for part in np.split(own, np.flatnonzero(groups[1:] != groups[:-1]) + 1) if len(own) else ():
+                at.append(i)
+                leaves.append(part)
+        rows, group = pa.array(at, pa.int64()), pa.array([int(x[0]) // GROUP for x in leaves], pa.int64())
+        return pa.RecordBatch.from_arrays([b.column("vec_id").take(rows), b.column("vec").take(rows), group, pa.array(leaves, pa.list_(pa.int64()))], ["vec_id", "vec", "group", "leaves"])
 
     def filed_in_own(own, b, above):
         return filed_in(own[0], b, above)
@@ -229,7 +236,7 @@ def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall:
         tree = Tree(own, math.ceil(count / leaf_rows))
         return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), pa.array([pickle.dumps((tree, calibrate(tree, own, k, recall)))], pa.binary())], ["leaf", "tree"])
 
-    def descended(df, trees, salts, f, schema):
+    def descended(df, trees, salts, f, schema, placed):
         """Rows whose leaf has a tree go down in it; each part of a leaf's rows follows a copy of the leaf's tree."""
         laid = lambda d, kind, vec_id, vec, tree: d.select("leaf", "salt", F.lit(kind).alias("kind"), vec_id.alias("vec_id"), vec.alias("vec"), tree.alias("tree"))
         none, ids = F.lit(None).cast("binary"), F.lit(None).cast("long")
@@ -251,7 +258,7 @@ def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall:
                     else:
                         yield f(tree, b.slice(i, j - i).select(["vec_id", "vec", "leaf"]), (int(leaves[i]) + 1) * SPAN)
 
-        rest = df.join(salts.select("leaf"), "leaf", "left_anti").select(F.col("vec_id"), "vec", (F.col("leaf") + 1) * SPAN)
+        rest = df.join(salts.select("leaf"), "leaf", "left_anti").select("vec_id", "vec", *placed((F.col("leaf") + 1) * SPAN))
         return saved(both.mapInArrow(run, schema).union(rest))
 
     for _ in range(3):  # each turn divides a leaf by a thousand or more
@@ -264,8 +271,9 @@ def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall:
         picked = picked.select("leaf", "vec", "count").repartition(parts, "leaf").sortWithinPartitions("leaf", "vec")
         trees = saved(picked.mapInArrow(made, "leaf long, tree binary"))
         salts = big.join(trees.select("leaf"), "leaf").select("leaf", "salts")
-        held = descended(held, trees, salts, filed_in_own, filed_schema)
-        asked = descended(asked, trees, salts, asked_of_own, asked_schema)
+        held = descended(held, trees, salts, filed_in_own, filed_schema, lambda leaf: [leaf])
+        each = asked.select("vec_id", "vec", F.explode("leaves").alias("leaf"))
+        asked = descended(each, trees, salts, asked_of_own, asked_schema, lambda leaf: [F.expr(f"(leaf + 1) * {SPAN} div {GROUP}"), F.array(leaf)])
 
     def blocks(size, extra):
         """Rows of one group, dealt to the same partition, in blocks of at most `size`."""
@@ -315,7 +323,6 @@ def _nearest(rows: DataFrame, queries: Column, n: int, dim: int, k: int, recall:
 
     group = F.expr(f"leaf div {GROUP}").alias("group")
     rows_in = in_blocks(held.select("vec_id", "vec", "leaf", group), BLOCK, leaf_of_each, "group long, ids binary, vecs binary, leaf binary")
-    asked = asked.groupBy("vec_id", "vec", group).agg(F.collect_list("leaf").alias("leaves"))  # GROUP leaves at most
     asked_in = in_blocks(asked, QUERIES, leaves_of_each, "group long, ids binary, vecs binary, leaf binary, at binary")
     pairs = rows_in.join(asked_in.select("group", *[F.col(c).alias(f"q_{c}") for c in ("ids", "vecs", "leaf", "at")]), "group").repartition(parts)
 
