@@ -251,12 +251,7 @@ def _coded(stage, size=SMALL):
 def _undone(spec, size=SMALL):
     """SHA-256 of each block after coding and decoding, and what coding made of its size."""
 
-    def run(spark, sf):
-        b = blocks(spark, sf, size)
-        b = b.select("file_id", "block_id", "n", codecs.encode(b.block, spec).alias("coded"))
-        return b.select("file_id", "block_id", "n", codecs.decode(b.coded, spec).alias("block")).select("file_id", "block_id", "n", F.sha2("block", 256).alias("sha256"))
-
-    return run
+    return lambda spark, sf: codecs.restored(blocks(spark, sf, size), spec).select("file_id", "block_id", "n", F.sha2("block", 256).alias("sha256"))
 
 
 for _name, _stage in {"bwt_sentinel": "BWT", "bwt_cyclic": "BWT2", "mtf": "MTF", "rle_split": "RLE", "rle_interleaved": "RLE1"}.items():
