@@ -414,6 +414,30 @@ def test_bloom_scores_do_not_depend_on_the_way(texts):
     assert ways[0] == ways[1]
 
 
+@pytest.mark.parametrize("rows", [3, 5000])
+def test_segments_answer_many_chunks_at_once(texts, monkeypatch, rows):
+    """Hundreds of segments, each asked by chunks of few texts: whole answers in order, however many chunks share a call."""
+    monkeypatch.setattr(bloom_lm, "BUCKET_GRAMS", 100)
+    monkeypatch.setattr(bloom_lm, "CHUNK_TEXTS", 20)
+    monkeypatch.setattr(bloom_lm, "ASKED_ROWS", rows)
+    ways = [sorted(map(str, bloom_lm.bloom_lm_scores(texts, max_bits=m).select("doc_id", "n_tokens", "n_known", F.round("score", 9)).collect())) for m in (1 << 40, 0)]
+    assert ways[0] == ways[1]
+
+
+def test_places_of_hashes():
+    """Asked once each, ascending, and their places, in less time than a search for each took."""
+    h = np.random.default_rng(2).integers(0, 1 << 19, 600_000).astype(np.uint64) << np.uint64(40)
+    distinct, places = np.unique(h, return_inverse=True)
+    began = time.process_time()
+    found, ranks = bloom_lm.once_each(h), bloom_lm.ranks(h)
+    taken = time.process_time() - began
+    assert (found == distinct).all() and (ranks == places).all()
+    assert not len(bloom_lm.once_each(h[:0])) and not len(bloom_lm.ranks(h[:0]))
+    began = time.process_time()
+    np.searchsorted(np.unique(h), h)
+    assert taken < time.process_time() - began
+
+
 def test_filter_gives_counts_back():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(1) & ~np.uint64(255)
