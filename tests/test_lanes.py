@@ -94,3 +94,21 @@ def test_round_trips_hold_no_coded_blocks_between_python_steps(query, spark, sf_
     """One pass over a few blocks at a time; a column of coded blocks held 256 KiB for each row of a batch."""
     plan = QUERIES[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("few", [1, 20, 10**6])
+@pytest.mark.parametrize("spec", ["BWT", "BWT2", "MTF", "BWT+MTF+RLE+AC", "BWT+MTF+RLE+AC2", "BWT2+MTF+RLE+AC"])
+def test_pipelines_side_by_side(blocks, spec, few, monkeypatch):
+    """Many blocks give what each gives alone, and undoing gives the blocks back."""
+    stages = [codecs.STAGES[s] for s in codecs.stages_of(spec)]
+    alone = list(blocks)
+    for forth, _ in stages:
+        alone = [forth(x) for x in alone]
+    monkeypatch.setattr(lanes, "FEW", few)
+    monkeypatch.setattr(lanes, "CHUNK_BYTES", 20_000)
+    assert list(kernels.through([f for f, _ in stages], blocks)) == alone
+    assert list(kernels.through([g for _, g in reversed(stages)], alone)) == blocks
+
+
+def test_front_lists_and_walks_are_taken_side_by_side():
+    assert {kernels.mtf, kernels.unmtf, kernels.unbwt, kernels.unbwt_cyclic} <= set(kernels.MANY)
