@@ -6,8 +6,9 @@ by name with its bit in the flag word; a pipeline is an order of stages, run in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from itertools import permutations
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice, permutations
 
 import pandas as pd
 import pyarrow as pa
@@ -79,16 +80,17 @@ def round_trip(blocks: DataFrame, spec: str | int | Sequence[str], keys: Sequenc
     schema = blocks.select(*keys, "n", F.lit(0).cast("long").alias("n_coded"), F.lit(True).alias("same")).schema
 
     def run(batches):
-        for b in batches:
-            own, sizes = b.column("block").to_pylist(), []
+        sizes = deque()
 
-            def measured(coded, sizes=sizes):
-                for x in coded:
-                    sizes.append(len(x))
-                    yield x
+        def measured(coded):
+            for x in coded:
+                sizes.append(len(x))
+                yield x
 
-            same = [again == x for x, again in zip(own, kernels.through(back, measured(kernels.through(forth, own))), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("n"), pa.array(sizes, pa.int64()), pa.array(same)], schema.names)
+        for b, made in _in_turn(batches, lambda own: kernels.through(back, measured(kernels.through(forth, own)))):
+            same = [again == x for x, again in zip(b.column("block").to_pylist(), made, strict=True)]
+            coded = [sizes.popleft() for _ in same]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("n"), pa.array(coded, pa.int64()), pa.array(same)], schema.names)
 
     return blocks.select(*keys, "n", "block").mapInArrow(run, schema)
 
@@ -101,13 +103,29 @@ def restored(blocks: DataFrame, spec: str | int | Sequence[str], keys: Sequence[
     rows = blocks.select(*keys, "n", "block")
 
     def run(batches):
-        for b in batches:
-            made = list(kernels.through([*forth, *back], b.column("block").to_pylist()))
+        for b, made in _in_turn(batches, lambda own: kernels.through([*forth, *back], own)):
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.binary())], b.schema.names)
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def _in_turn(batches: Iterable[pa.RecordBatch], run: Callable[[Iterable[bytes]], Iterator[bytes]]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """(batch, what is made of its blocks) of each batch that has any, in order. Blocks are read on over batches, as many as
+    the kernels work on side by side."""
+    waiting = deque()
+
+    def blocks():
+        for b in batches:
+            if b.num_rows:
+                waiting.append(b)
+                yield from b.column("block").to_pylist()
+
+    made = iter(run(blocks()))
+    for first in made:
+        b = waiting.popleft()
+        yield b, [first, *islice(made, b.num_rows - 1)]
+
+
 def _both_ways(spec: str | int | Sequence[str]) -> tuple[list[Kernel], list[Kernel]]:
     names = stages_of(spec)
     return [STAGES[s][0] for s in names], [STAGES[s][1] for s in reversed(names)]

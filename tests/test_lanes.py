@@ -5,6 +5,7 @@ import struct
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bytequarry.operators import codecs, kernels, lanes
@@ -112,3 +113,72 @@ def test_pipelines_side_by_side(blocks, spec, few, monkeypatch):
 
 def test_front_lists_and_walks_are_taken_side_by_side():
     assert {kernels.mtf, kernels.unmtf, kernels.unbwt, kernels.unbwt_cyclic} <= set(kernels.MANY)
+
+
+@pytest.mark.parametrize("few", [1, 10**6])
+@pytest.mark.parametrize("name", ["AC", "AC2"])
+def test_more_bits_held_than_a_word_has(name, few, monkeypatch):
+    """40 times the middle one of three symbols of equal frequency: the interval straddles the middle for 63 bits."""
+    block = {"AC": b"\1" * 40 + b"\0\2" * 40, "AC2": b"\1" * 41 + b"\1\0" * 40 + b"\1\2" * 40}[name]
+    monkeypatch.setattr(lanes, "FEW", few)
+    forth, back = codecs.STAGES[name]
+    many = [block[: i + 50] for i in range(60)] + [block] * 9 + [block + b"\2\1" * i for i in range(9)]
+    coded = list(kernels.MANY[forth](many))
+    assert coded == [{"AC": plain_ac, "AC2": plain_ac2}[name](b) for b in many]
+    assert list(kernels.MANY[back](coded)) == many
+
+
+@pytest.mark.parametrize("shares", [1, 7, 4096])
+@pytest.mark.parametrize("name", ["AC", "AC2"])
+def test_symbols_that_shares_miss_are_searched(blocks, name, shares, monkeypatch):
+    """Too few shares for the symbols, and blocks with more symbols after a byte than there are shares."""
+    monkeypatch.setattr(lanes, "SHARES", shares)
+    r = np.random.default_rng(3)
+    many = [*blocks, *(np.minimum(r.geometric(0.2, 20_000 + i), 200).astype(np.uint8).tobytes() for i in range(25))]
+    forth, back = codecs.STAGES[name]
+    assert list(kernels.through([forth, back], many)) == many
+
+
+def test_shares_find_nearly_all_symbols():
+    """A decoder that searches all lanes' models for each byte takes most of its time for that."""
+    for text in [*texts(20, 3000, 4), b"ab" * 3 + b"ac" * 7, bytes(range(256)) * 3]:
+        pairs, freq, _ = kernels.pair_model(text)
+        lower, upper, row = kernels._bounds(pairs, freq)
+        begin = np.searchsorted(row, np.arange(row.max() + 1))
+        parts, first, found = lanes._shares(begin, lower, upper)
+        right = tried = 0
+        for m, n in enumerate(parts.tolist()):
+            value = np.linspace(0, WHOLE - 1, 999).astype(np.int64)
+            share = (value * n + (1 << 32) - (1 << 32) // lanes.LATE >> 32) + first[m]
+            got = found[share]
+            assert (row[got] == m).all() and (lower[got] <= value).all()
+            right, tried = right + int((value < upper[got]).sum()), tried + len(value)
+        assert right > 0.97 * tried
+
+
+def test_blocks_of_many_batches_are_worked_on_together():
+    """Long blocks are few in a batch, so batches are read on; results come batch by batch, in order."""
+    batches = [pa.RecordBatch.from_pydict({"block": pa.array([f"{i} {j}".encode() for j in range(i)], pa.binary())}) for i in (3, 0, 2, 5)]
+    taken = []
+
+    def run(blocks):
+        taken.extend(blocks)
+        yield from (b.upper() for b in taken)
+
+    made = codecs._in_turn(iter(batches), run)
+    first = next(made)
+    assert len(taken) == 10
+    assert [(b.num_rows, x) for b, x in [first, *made]] == [(b.num_rows, b.column("block").to_pylist()) for b in batches if b.num_rows]
+
+
+def test_order_1_takes_a_small_part_of_the_plain_coders_time():
+    """3,000 texts, forth and back, in CPU time beside a plain loop that codes 30 of them."""
+    many = texts(3000, 2000, 6)
+    began = time.process_time()
+    for b in many[:30]:
+        plain_ac2(b)
+    alone = (time.process_time() - began) / sum(map(len, many[:30]))
+    began = time.process_time()
+    assert list(kernels.through([kernels.ac2, kernels.unac2], many)) == many
+    took = (time.process_time() - began) / sum(map(len, many))
+    assert took < alone / 6
