@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, saved, spread, use_workers, words
+from .common import free_heaps, kept, saved, spread, use_workers, words
 from .components import as_links, connected_components, forest
 from .shingle_sets import jaccard_components
 
@@ -236,9 +236,11 @@ def near_duplicates(docs: DataFrame, widths: tuple[int, ...] = (3, 5), text: str
     docs = docs.where(F.col(doc_id).isNotNull())
     links = jaccard_components(docs, text, doc_id, set_words, least).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     for width in widths:
+        free_heaps(docs.sparkSession)
         rows = saved(fingerprints(docs, text, doc_id, width))
         own = rows.join(_labels(rows, max_bits, block), "fp").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
         links = links.union(own)
+    free_heaps(docs.sparkSession)
     roots = saved(connected_components(links))
     named = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     return roots.join(named, "root").where("id <> component_id").select(F.col("id").alias("doc_id"), "component_id")

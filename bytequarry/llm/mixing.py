@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,10 @@ def mix(docs: DataFrame, tree: Sequence[Column], weights: dict[tuple, float], bu
     supply = {tuple(r["leaf"]): r["supply"] for r in leaves}
     total = fraction * sum(supply.values()) if budget is None else budget
     given = allocate(total, {k: max_epochs * v for k, v in supply.items()}, {tuple(map(str, k)): w for k, w in weights.items()})
-    plan = spark.createDataFrame([(r["mix_key"], r["supply"], int(given[tuple(r["leaf"])] + 0.5)) for r in leaves], "mix_key string, mix_supply long, mix_budget long")
+    plan = [(r["mix_key"], r["supply"], int(given[tuple(r["leaf"])] + 0.5)) for r in leaves]
+    kinds = {"mix_key": pa.string(), "mix_supply": pa.int64(), "mix_budget": pa.int64()}
+    # As an Arrow table, as a list of rows would go through Python workers of another kind, which stay beside the others.
+    plan = spark.createDataFrame(pa.table({k: pa.array([x[i] for x in plan], t) for i, (k, t) in enumerate(kinds.items())}))
     small = len(leaves) * max_epochs << STRETCH_BITS <= BROADCAST_ROWS
     sent = F.broadcast if small else (lambda df: df)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom_lm import mixed
-from .common import kept, saved, sent, spread, use_workers, words
+from .common import free_heaps, kept, saved, sent, spread, use_workers, words
 from .components import as_links, connected_components, forest
 
 #: Sets of a similarity of 0.5 have a common key with probability 0.75, of 0.35 with 0.2: candidates' groups stay near those of links.
@@ -153,6 +153,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     keyed = distinct.select("digest", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key")
     near = connected_components(keyed.mapInArrow(_chains, "a long, b long")).withColumnRenamed("id", "digest")
     near = saved(near.join(distinct.select("digest", "doc_id"), "digest"))
+    free_heaps(docs.sparkSession)
     full = near.groupBy("root").count().where(F.col("count") > block).select("root", F.ceil(F.col("count") / block).cast("int").alias("s"))
     dealt = near.join(full, "root", "left").withColumn("s", F.coalesce("s", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("s")).cast("int"))

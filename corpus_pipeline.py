@@ -7,12 +7,14 @@ reread as the next one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import quoted, saved, sent, shared_dir
+from bytequarry.llm.common import free_heaps, quoted, saved, sent, shared_dir
 from bytequarry.llm.golay_simhash import near_duplicates as similar
 from bytequarry.llm.language_id import identified
 from bytequarry.llm.mixing import mix
@@ -31,18 +33,32 @@ MIX_FRACTION = 0.9
 WORDS = 50_000
 
 
+def lean(stage: Callable) -> Callable:
+    """The stage, begun with heaps that hold only what is in use, whatever ran before it."""
+
+    @wraps(stage)
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        free_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_lean
+
+
+@lean
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told go on; texts that are null or have no letter, and undecided ones, go."""
     known = identified(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return known.select("row.*")
 
 
+@lean
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest doc_id stays; rows without doc_id stay as they are."""
     extra = sent(saved(similar(docs, SHINGLE_WORDS).select("doc_id")))
     return docs.join(extra, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
+@lean
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts give way to their kind in angle brackets; n_chars follows where that changes it."""
     made, row = marked(docs), F.col("row")
@@ -51,11 +67,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return made.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
+@lean
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that fill the sources' budgets, each once."""
     return mix(docs, mix_tree(), MIX_WEIGHTS, fraction=MIX_FRACTION, max_epochs=1, seed=1).select("row.*")
 
 
+@lean
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces: ids of the best segmentation, scores of the best ones, and whether decoding gives it back."""
     return segmented(docs, public_tokenizers.path(PIECE_BPE), n_best=4, with_ids=True, remembered=WORDS)
